@@ -1,0 +1 @@
+"""Left empty on purpose: every input is a bounded table, so no query is a stream."""
