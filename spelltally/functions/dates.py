@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spelltally.functions.text import has_text, strip
+from spelltally.functions.text import SPACE, has_text
 
 # Year-month-day text, one or two digits for month and day, from 1677-09-22
 # to 2262-04-11, the range of a 64-bit nanosecond timestamp.
@@ -22,15 +22,15 @@ READABLE = "|".join(
 def parse_date(text: Column) -> Column:
     """Year-month-day text to a date; anything else, or out of range, becomes null.
 
-    Shape and range are one pattern, so the text is looked at twice only: by the
-    pattern, and by the cast when it fits.
+    One pattern decides on shape and range; text that does not fit gives an empty
+    extract, which the cast turns into null.
     """
-    return F.when(text.rlike(rf"^({READABLE})\z"), text.try_cast("date"))
+    return F.regexp_extract(text, rf"^({READABLE})\z", 1).try_cast("date")
 
 
 def parse_date_trimmed(text: Column) -> Column:
-    """As :func:`parse_date`, after white space at both ends is dropped."""
-    return parse_date(strip(text))
+    """As :func:`parse_date`, with white space at both ends allowed."""
+    return F.regexp_extract(text, rf"^[{SPACE}]*({READABLE})[{SPACE}]*\z", 1).try_cast("date")
 
 
 def active_at(
@@ -38,11 +38,12 @@ def active_at(
 ) -> Column:
     """Spell is running on the snapshot date.
 
-    No end date means still running; an end date which cannot be read does not.
+    No end date means still running; an end date which cannot be read does not. The
+    cheap tests come first, and a spell without an end is told before any pattern runs.
     """
     day = F.lit(snapshot).cast("date")
-    still_open = ~has_text(end_text)
-    return (parse(start_text) <= day) & ((parse(end_text) >= day) | still_open)
+    running = end_text.isNull() | (parse(end_text) >= day) | ~has_text(end_text)
+    return (parse(start_text) <= day) & running
 
 
 def in_period(day: Column, period: tuple[str, str]) -> Column:

@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORDER_DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
-SHIP_DAY = "CAST(CAST(l_shipdate AS DATE) AS STRING)"
+ORDER_DAY = "CAST(o_orderdate AS DATE)"
+SHIP_DAY = "CAST(l_shipdate AS DATE)"
 
 
 def _flawed(day: str, key: str) -> str:
     """Date text, with a share of nulls, blanks, bad text, far dates and padding."""
+    day = f"CAST({day} AS STRING)"
     return (
         f"CASE WHEN {key} % 37 = 0 THEN NULL WHEN {key} % 41 = 0 THEN '  ' "
         f"WHEN {key} % 43 = 0 THEN 'unknown' WHEN {key} % 47 = 0 THEN '9999-12-31' "
