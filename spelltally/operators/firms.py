@@ -21,32 +21,34 @@ def in_industries(company_ref: DataFrame, industries: tuple[str, ...]) -> DataFr
 
 @dataclass
 class FirmUniverse:
-    """Firms of interest, one row per ``rcid``.
+    """Firms of interest.
 
-    ``extracted`` says that the fact tables hold these firms only, so that no join is
-    needed to restrict them.
+    ``firms`` holds one row per ``rcid`` with the country; ``ids`` holds the ids alone,
+    where repeats do no harm. ``extracted`` says that the fact tables hold these firms
+    only, so that no join is needed to restrict them.
     """
 
     firms: DataFrame
+    ids: DataFrame
     extracted: bool = False
     broadcast_rows: int = BROADCAST_FIRMS
 
     @cached_property
     def small(self) -> bool:
-        """Whether the ids may be broadcast; costs one count of the company table."""
-        return self.firms.select("rcid").count() <= self.broadcast_rows
+        """Whether the ids may be broadcast; costs one count of the filtered company table."""
+        return self.ids.count() <= self.broadcast_rows
 
     def keep(self, facts: DataFrame) -> DataFrame:
         """Facts of these firms; a semi-join, so no row multiplies and no column is added.
 
         Few ids go out as a broadcast and the facts are not shuffled. Many ids are
         joined by shuffle, where adaptive execution splits the partition of a hot firm.
+        It does so only if both sides come straight from a shuffle, hence plain ids
+        without a distinct on top.
         """
         if self.extracted:
             return facts
-        ids = self.firms.select("rcid")
-        if self.small:
-            ids = F.broadcast(ids)
+        ids = F.broadcast(self.ids) if self.small else self.ids
         return facts.join(ids, "rcid", "left_semi").select(*facts.columns)
 
     def keep_if_cheap(self, facts: DataFrame) -> DataFrame:

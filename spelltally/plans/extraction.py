@@ -29,7 +29,8 @@ def universe(tables, study: Study) -> FirmUniverse:
     firms = one_row_per_key(named, "rcid", lead="hq_country").select(
         "rcid", label_or_missing(F.col("hq_country")).alias("hq_country")
     )
-    return FirmUniverse(firms, extracted=getattr(tables, "extracted", False))
+    ids = in_industries(tables.frame("company_ref", "rcid", "rics_k400"), study.industries)
+    return FirmUniverse(firms, ids.select("rcid"), getattr(tables, "extracted", False))
 
 
 def focal_facts(tables, study: Study, name: str) -> DataFrame:
@@ -69,7 +70,8 @@ def run_extraction(
                 selected, f"{study.name}_company_ref", f"{folder}/company_ref", single_part, fmt
             )
         }
-    firms = FirmUniverse(written["company_ref"].select("rcid", "hq_country"))
+    stored = written["company_ref"]
+    firms = FirmUniverse(stored.select("rcid", "hq_country"), stored.select("rcid"))
     for name in FACTS:
         written[name] = export_dataframe(
             firms.keep(tables.frame(name)),

@@ -19,8 +19,12 @@ def _per_pair(
     positions = tables.frame(
         "user_positions", "rcid", "user_id", "startdate", "enddate", "job_category", study.role
     )
-    spells = spell_ops.role_spells(positions, study.snapshot, study.categories, study.role)
-    return universe(tables, study).keep_grouped(spells, lambda frame: group(frame, study.role))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        spells = spell_ops.role_spells(rows, study.snapshot, study.categories, study.role)
+        return group(spells, study.role)
+
+    return universe(tables, study).keep_grouped(positions, grouped)
 
 
 def primary_roles(tables, study: Study) -> DataFrame:
