@@ -48,9 +48,9 @@ def users_per_firm(pairs: DataFrame, name: str) -> DataFrame:
 def _first_choice(role: str):
     """Order in which the spells of a pair are preferred: latest start, category, role."""
     return F.struct(
-        nulls_last(-F.unix_date("startdate")).alias("newest"),
-        nulls_last(F.col("job_category")).alias("category"),
-        nulls_last(F.col(role)).alias("role"),
+        nulls_last(-F.unix_date("startdate")).alias("_newest"),
+        nulls_last(F.col("job_category")).alias("_category"),
+        nulls_last(F.col(role)).alias("_role"),
         F.col("startdate"),
         F.col("job_category"),
         F.col(role),
