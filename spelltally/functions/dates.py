@@ -10,11 +10,12 @@ from spelltally.functions.text import SPACE, has_text
 # Year-month-day text, one or two digits for month and day, from 1677-09-22
 # to 2262-04-11, the range of a 64-bit nanosecond timestamp.
 DAY = "[0-9]{1,2}"
+WHOLE_YEARS = "1[789][0-9]{2}|2[01][0-9]{2}|22[0-5][0-9]|226[01]|16[89][0-9]|167[89]"
 READABLE = "|".join(
     (
-        f"(167[89]|16[89][0-9]|1[789][0-9]{{2}}|2[01][0-9]{{2}}|22[0-5][0-9]|226[01])-{DAY}-{DAY}",
-        f"1677-(0?9-(2[2-9]|30)|1[0-2]-{DAY})",
-        f"2262-(0?[1-3]-{DAY}|0?4-(0?[1-9]|1[01]))",
+        f"(?:{WHOLE_YEARS})-{DAY}-{DAY}",
+        f"1677-(?:0?9-(?:2[2-9]|30)|1[0-2]-{DAY})",
+        f"2262-(?:0?[1-3]-{DAY}|0?4-(?:0?[1-9]|1[01]))",
     )
 )
 

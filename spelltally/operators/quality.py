@@ -121,6 +121,42 @@ def check_group_sum(
     )
 
 
+def check_group_sums(
+    members: DataFrame, key: str, by: str, groupings: dict[str, Column]
+) -> DataFrame:
+    """:func:`check_group_sum` for several groupings of one frame.
+
+    ``groupings`` tells by name which members a grouping counts. The frame is used
+    twice whatever the number of groupings: once grouped, once as totals.
+    """
+    names = F.array(*(F.when(held, F.lit(name)) for name, held in groupings.items()))
+    grouped = (
+        members.select(key, by, F.explode(F.array_compact(names)).alias("subject"))
+        .groupBy("subject", by)
+        .agg(F.count(key).alias("_n"))
+        .select("subject", "_n")
+    )
+    totals = members.agg(
+        *(F.count_if(held).alias(f"_{i}") for i, held in enumerate(groupings.values()))
+    ).select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(name).alias("subject"), (-F.col(f"_{i}")).alias("_n"))
+                    for i, name in enumerate(groupings)
+                )
+            )
+        )
+    )
+    gap = F.abs(F.sum("_n"))
+    return (
+        grouped.unionByName(totals)
+        .groupBy("subject")
+        .agg(gap.alias("violations"), (gap == 0).alias("passed"))
+        .select(F.lit("group_sum").alias("check"), "subject", "violations", "passed")
+    )
+
+
 def enforce(report: DataFrame) -> None:
     """Raise when a check failed. A report has a handful of rows."""
     failed = report.where(~F.col("passed")).collect()

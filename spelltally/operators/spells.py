@@ -66,16 +66,23 @@ def primary_spells(spells: DataFrame, role: str) -> DataFrame:
     )
 
 
-def overlap_counts(spells: DataFrame, role: str) -> DataFrame:
-    """Distinct roles and categories per pair with a known user and firm; null is a value."""
-    return (
+def overlap_counts(spells: DataFrame, role: str, categories: tuple[str, ...]) -> DataFrame:
+    """Distinct roles, and how many of the categories occur, per pair with known user and firm.
+
+    A null role is a value. One flag per category goes along with the roles, since two
+    distinct counts side by side would double the rows before the shuffle.
+    """
+    flags = [f"_in_{i}" for i, _ in enumerate(categories)]
+    per_role = (
         spells.dropna(subset=list(PAIR))
-        .groupBy(*PAIR)
-        .agg(
-            F.count_distinct(F.struct(role)).alias("role_count"),
-            F.count_distinct(F.struct("job_category")).alias("category_count"),
-        )
+        .groupBy(*PAIR, role)
+        .agg(*(F.max(F.col("job_category") == c).alias(f) for f, c in zip(flags, categories)))
+    )
+    per_pair = per_role.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("role_count"), *(F.max(f).alias(f) for f in flags)
     )
+    seen = sum((F.col(f).cast("long") for f in flags), F.lit(0))
+    return per_pair.select(*PAIR, "role_count", seen.cast("long").alias("category_count"))
 
 
 def pair_summary(spells: DataFrame, role: str) -> DataFrame:

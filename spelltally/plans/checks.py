@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spelltally.config import Study
 from spelltally.functions.dates import parse_date, parse_date_trimmed
-from spelltally.operators import firms as firm_ops
 from spelltally.operators import quality
 from spelltally.plans import firms as firm_plans
 from spelltally.plans.extraction import companies, universe
@@ -95,21 +95,16 @@ def same_firms(tables, study: Study) -> DataFrame:
 
 def country_sums(tables, study: Study) -> DataFrame:
     """Country counts add up to the firms they were made from, for all four groupings."""
-    active = firm_plans.active_firms(tables, study)
-    groups = {
-        "companies_by_country": universe(tables, study).firms,
-        "employing_by_country": firm_ops.positive(active, "employee_count"),
-        "posting_by_country": firm_ops.positive(active, "posting_count"),
-        "active_by_country": active.where("active_firm"),
-    }
-    return reduce(
-        DataFrame.unionByName,
-        [
-            quality.check_group_sum(
-                firm_ops.firms_by_country(firms), "company_count", firms.select("rcid"), name
-            )
-            for name, firms in groups.items()
-        ],
+    return quality.check_group_sums(
+        firm_plans.active_firms(tables, study),
+        "rcid",
+        "hq_country",
+        {
+            "companies_by_country": F.lit(True),
+            "employing_by_country": F.col("employee_count") > 0,
+            "posting_by_country": F.col("posting_count") > 0,
+            "active_by_country": F.col("active_firm"),
+        },
     )
 
 

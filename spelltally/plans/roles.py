@@ -32,7 +32,9 @@ def primary_roles(tables, study: Study) -> DataFrame:
 
 
 def overlap_counts(tables, study: Study) -> DataFrame:
-    return _per_pair(tables, study, spell_ops.overlap_counts)
+    return _per_pair(
+        tables, study, lambda rows, role: spell_ops.overlap_counts(rows, role, study.categories)
+    )
 
 
 def role_selection_diagnostics(tables, study: Study) -> DataFrame:

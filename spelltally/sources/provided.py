@@ -148,9 +148,13 @@ class ProvidedTables:
 
     spark: SparkSession
     folder: str
+    opened: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A provided table; listing its files and reading its footer happen once."""
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.opened[name]
 
     def frame(self, name: str, *columns: str) -> DataFrame:
         """A mapped source table; only the lookups its columns need are joined."""

@@ -1,5 +1,6 @@
 import pytest
 from frames import rows_of
+from pyspark.sql import functions as F
 
 from spelltally.functions.dates import parse_date_trimmed
 from spelltally.operators import quality, samples
@@ -54,6 +55,21 @@ def test_check_group_sum(spark):
     assert rows_of(fails) == [("group_sum", "s", 2, False)]
 
 
+def test_check_group_sums(spark):
+    frame = spark.createDataFrame(
+        [(1, "a", True), (2, "a", False), (3, "b", True), (None, "b", True)],
+        "k long, g string, held boolean",
+    )
+    groupings = {"all": F.col("k").isNotNull(), "held": F.col("held"), "none": F.lit(False)}
+    report = quality.check_group_sums(frame, "k", "g", groupings)
+    # The null key is a member that no group counts.
+    assert rows_of(report) == [
+        ("group_sum", "all", 0, True),
+        ("group_sum", "held", 1, False),
+        ("group_sum", "none", 0, True),
+    ]
+
+
 def test_enforce(spark):
     quality.enforce(quality.check_key(ids(spark, [1]), "k", "t.k"))
     with pytest.raises(ValueError, match="key_unique of t.k: 1 violations"):

@@ -7,6 +7,7 @@ from frames import rows_of
 
 from spelltally.operators import roles, spells
 
+CATEGORIES = ("Scientist", "Engineer")
 SPELLS = "user_id long, rcid long, startdate date, job_category string, role string"
 
 
@@ -59,7 +60,7 @@ def test_overlaps_and_diagnostics_against_brute_force(spark, seed):
             seen[0].add(role)
             seen[1].add(category)
     expected = sorted(((*k, len(r), len(c)) for k, (r, c) in known.items()), key=repr)
-    assert rows_of(spells.overlap_counts(frame, "role")) == expected
+    assert rows_of(spells.overlap_counts(frame, "role", CATEGORIES)) == expected
 
     primary = brute_primary(rows)
     pairs = len(primary)
@@ -81,7 +82,7 @@ def test_overlap_counts_null_as_a_value(spark):
     day = datetime.date(2020, 1, 1)
     rows = [(1, 1, day, "A", None), (1, 1, day, "A", "x"), (1, 1, day, "A", "x")]
     frame = spark.createDataFrame(rows, SPELLS)
-    assert rows_of(spells.overlap_counts(frame, "role")) == [(1, 1, 2, 1)]
+    assert rows_of(spells.overlap_counts(frame, "role", ("A", "B"))) == [(1, 1, 2, 1)]
 
 
 def brute_composition(rows, sample):
