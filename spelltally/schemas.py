@@ -118,3 +118,12 @@ POSITION_ROLE_LEVELS = (
     "role_k1500",
 )
 GEOGRAPHY_LEVELS = ("country", "state", "city")
+
+UNIVERSES = {
+    "company_ref": {"industries": INDUSTRY_LEVELS},
+    "postings_linkedin": {"roles": POSTING_ROLE_LEVELS},
+    "postings_indeed": {"roles": POSTING_ROLE_LEVELS},
+    "user_positions": {"roles": POSITION_ROLE_LEVELS, "geography": GEOGRAPHY_LEVELS},
+}
+# Tables whose sample is drawn at random; the others give their first rows.
+RANDOMLY_SAMPLED = ("user_age", "user_demography")

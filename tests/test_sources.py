@@ -5,7 +5,7 @@ from frames import MemoryTables, rows_of
 from test_firms import COMPANIES, INDEED, LINKEDIN, POSITIONS
 
 from spelltally.config import BIOPHARM, STUDIES
-from spelltally.plans import extraction, firms
+from spelltally.plans import extraction, firms, inspection
 from spelltally.plans.report import run_report
 from spelltally.schemas import SOURCE_TABLES
 from spelltally.sources import scans, scratch, sinks
@@ -141,3 +141,39 @@ def test_report_stops_on_a_null_company_key(spark, tables, tmp_path):
     tables.rows["company_ref"] = COMPANIES + [(None, "Nameless", "Peru", "k", "Pharmaceuticals")]
     with pytest.raises(ValueError, match="key_not_null"):
         run_report(tables, BIOPHARM, str(tmp_path))
+
+
+class NumberedTables:
+    """Every source table with its validated columns, all numbers, and one column too many."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def frame(self, name, *columns):
+        names = SOURCE_TABLES[name].columns
+        values = ", ".join(f"CAST(id % {i % 3 + 1} AS STRING) AS {c}" for i, c in enumerate(names))
+        table = self.spark.range(0, 1500, 1, 3).selectExpr(*values.split(", "), "id AS extra")
+        return table.select(*columns) if columns else table
+
+
+@pytest.mark.parametrize("name", SOURCE_TABLES)
+def test_inspection(spark, tmp_path, name):
+    database = scratch.scratch_table(spark, "x").split(".")[0]
+    spark.sql(f"USE {database}")
+    try:
+        written = inspection.run_inspection(NumberedTables(spark), name, str(tmp_path))
+    finally:
+        spark.sql("USE default")
+    sample = written.pop("sample")
+    assert sample.count() == 1000 and sample.columns == list(SOURCE_TABLES[name].columns)
+    profile = {(r["subject"], r["metric"]): r["value"] for r in written.pop("profile").collect()}
+    assert profile["*", "row_count"] == 1500
+    assert sum(metric == "null_count" for _, metric in profile) == len(SOURCE_TABLES[name].columns)
+    assert set(written) == {
+        "company_ref": {"universe_industries"},
+        "postings_linkedin": {"universe_roles"},
+        "postings_indeed": {"universe_roles"},
+        "user_positions": {"universe_roles", "universe_geography"},
+    }.get(name, set())
+    for frame in written.values():
+        assert frame.count() == frame.distinct().count() <= 6
