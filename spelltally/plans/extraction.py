@@ -9,7 +9,7 @@ from spelltally.config import Study
 from spelltally.functions.text import label_or_missing
 from spelltally.operators.dedup import one_row_per_key
 from spelltally.operators.firms import FirmUniverse, in_industries
-from spelltally.sources.sinks import export_dataframe, kept
+from spelltally.sources.sinks import export_dataframe
 
 FACTS = ("user_positions", "postings_linkedin", "postings_indeed")
 
@@ -64,20 +64,15 @@ def run_extraction(
 
     The company extract serves all three semi-joins from the stored copy.
     """
-    with kept(companies(tables, study)) as selected:
-        written = {
-            "company_ref": export_dataframe(
-                selected, f"{study.name}_company_ref", f"{folder}/company_ref", single_part, fmt
-            )
-        }
+
+    def export(name: str, frame: DataFrame) -> DataFrame:
+        return export_dataframe(
+            frame, f"{study.name}_{name}", f"{folder}/{name}", single_part, fmt
+        )
+
+    written = {"company_ref": export("company_ref", companies(tables, study))}
     stored = written["company_ref"]
     firms = FirmUniverse(stored.select("rcid", "hq_country"), stored.select("rcid"))
     for name in FACTS:
-        written[name] = export_dataframe(
-            firms.keep(tables.frame(name)),
-            f"{study.name}_{name}",
-            f"{folder}/{name}",
-            single_part,
-            fmt,
-        )
+        written[name] = export(name, firms.keep(tables.frame(name)))
     return written

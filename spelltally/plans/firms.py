@@ -42,11 +42,11 @@ def firm_employee_counts(tables, study: Study, firms: FirmUniverse | None = None
     )
 
 
-def firm_focal_counts(tables, study: Study) -> DataFrame:
+def firm_focal_counts(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
     positions = tables.frame("user_positions", *SPELL_DATES, "job_category")
     return _employees(
         spell_ops.focal_active_spells(positions, study.snapshot, study.categories),
-        universe(tables, study),
+        firms or universe(tables, study),
         "focal_employee_count",
     )
 

@@ -1,6 +1,6 @@
 """All results of one study, written out.
 
-Firm-level and pair-level results feed several outputs, so they are written as Parquet
+The universe is kept on the executors for the length of the run. Firm-level and pair-level results feed several outputs, so they are written as Parquet
 first and read back: each heavy plan runs once, and a lost executor costs nothing that
 is already stored.
 """
@@ -15,8 +15,9 @@ from spelltally.operators import firms as firm_ops
 from spelltally.operators import quality
 from spelltally.operators import roles as role_ops
 from spelltally.operators import sizes as size_ops
+from spelltally.operators.firms import FirmUniverse
 from spelltally.plans import checks, extraction, firms, monthly, roles
-from spelltally.sources.sinks import write_csv, write_parquet
+from spelltally.sources.sinks import kept, write_csv, write_parquet
 
 
 def run_report(tables, study: Study, folder: str) -> list[str]:
@@ -24,6 +25,12 @@ def run_report(tables, study: Study, folder: str) -> list[str]:
 
     Raises ``ValueError`` when a key, a join or a sum does not hold.
     """
+    universe = extraction.universe(tables, study)
+    with kept(universe.firms):
+        return _write_results(tables, study, universe, folder)
+
+
+def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) -> list[str]:
     names: list[str] = []
 
     def stored(name: str, frame: DataFrame) -> DataFrame:
@@ -38,13 +45,12 @@ def run_report(tables, study: Study, folder: str) -> list[str]:
         quality.enforce(quality.check_group_sum(grouped, "company_count", members, name))
         save(name, grouped)
 
-    universe = extraction.universe(tables, study)
     quality.enforce(quality.check_key(universe.firms, "rcid", "companies.rcid"))
     save_by_country("companies_by_country", universe.firms)
 
     employees = stored("firm_employee_counts", firms.firm_employee_counts(tables, study, universe))
     postings = stored("firm_posting_counts", firms.firm_posting_counts(tables, study, universe))
-    focal = stored("firm_focal_counts", firms.firm_focal_counts(tables, study))
+    focal = stored("firm_focal_counts", firms.firm_focal_counts(tables, study, universe))
     sides = ("firm_employee_counts", "firm_posting_counts")
     quality.enforce(
         quality.check_one_to_one(employees, postings, "rcid", sides).unionByName(

@@ -192,6 +192,16 @@ def test_size_check_decides_on_the_broadcast(spark):
     assert hinted(few) and not hinted(many)
 
 
+def test_many_firms_are_met_after_grouping(spark, monkeypatch):
+    """Pairs are made distinct below the shuffle join, never on its partitioning by firm."""
+    monkeypatch.setattr(firm_ops.FirmUniverse, "small", property(lambda self: False))
+    pairs = firms.active_user_firms(tables(spark), BIOPHARM)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate")
+    counts = firms.firm_employee_counts(tables(spark), BIOPHARM)
+    assert "LeftSemi" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hot_firm_is_split_in_the_shuffle_join(spark):
     """A third and more of the rows at one firm must not end up in one task."""
     session = spark.newSession()
