@@ -29,8 +29,8 @@ BITS = 64
 FANOUT = 8
 # Pairs of nodes that are compared at once.
 SLICE = 1 << 17
-# Two blocks beyond the distance give keys of 21 bits; more fingerprints than this get longer keys.
-CODES_PER_KEY = 32
+# Keys get longer, and choices of blocks more, until a key has so many codes on average.
+CODES_PER_KEY = 4096
 
 
 def fingerprint(text: str | None, size: int = WORDS_PER_SHINGLE) -> int:
@@ -70,7 +70,7 @@ def masks(distance: int, codes: int) -> list[int]:
     The bits are cut into blocks; a mask keeps all but ``distance`` of them. The number of
     blocks makes keys long enough for the number of codes.
     """
-    blocks = distance + 2
+    blocks = distance + 1
     while blocks < distance + 4 and codes >> (BITS * (blocks - distance) // blocks) > CODES_PER_KEY:
         blocks += 1
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
