@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelltally.llm import decontamination, mixing, quality, sharding, simhash
+from spelltally.llm import decontamination, minhash, mixing, quality, sharding, simhash
 from spelltally.llm.common import table, whole
 
 SHARDS = 40
@@ -49,11 +49,17 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    made = minhash.fingerprinted(table(spark, folder, "documents", "doc_id", "text"))
+    return made.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharded,
     "op3_quality_scores": quality_scores,
     "op5_mix_sources": mixed,
     "op6_benchmark_leaks": leaked,
+    "op9_fingerprints": fingerprints,
     "op10_near_copies": near_copies,
 }
 ORACLE: dict[str, str] = {}
