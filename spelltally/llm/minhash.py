@@ -8,8 +8,6 @@ kept, and likeness is corrected for values that agree in those bits by chance.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +119,14 @@ def successors(keys: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def _same(a: DataFrame, b: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[x].eqNullSafe(b[y]) for x, y in zip(left, right)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key of two hashes of both, which joins need: unlike ids, it is never null."""
+    texts = docs.select("doc_id", whole().alias("text"))
+    return texts.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, text, edited_text, and next_id and next_digest of the next document.
+    """doc_id, k1, k2 (keys), text, edited_text, and the next document's next_doc_id, n1 and n2.
 
     The edited text ends in the first quarter of the next document by ``doc_id`` (null ids
     first, the first after the last) instead of its own last quarter. A null text is an
@@ -134,35 +134,37 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     results; a single document is its own neighbour; an empty input gives an empty result.
     Other columns are not looked at.
     """
-    texts = docs.select("doc_id", whole().alias("text")).withColumn("digest", F.xxhash64("text"))
-    keys = texts.select("doc_id", "digest", F.length("text").alias("chars")).groupBy("doc_id", "digest").agg(
-        F.max("chars").alias("chars")
+    texts = _keyed(docs)
+    keys = texts.groupBy("doc_id", "k1", "k2").agg(F.max(F.length("text")).alias("chars"))
+    line = successors(keys, "doc_id", "k1", "k2").select(
+        F.col("k1").alias("p1"), F.col("k2").alias("p2"), "chars", F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2")
     )
-    line = successors(keys, "doc_id", "digest").select(
-        F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"),
-        F.col("next.doc_id").alias("next_id"), F.col("next.digest").alias("next_digest"), "chars",
-    )
     line = stored(line, "neighbours")
-    key, own, after = ("doc_id", "digest"), ("own_id", "own_digest"), ("next_id", "next_digest")
-    heads = texts.dropDuplicates(["doc_id", "digest"])
-    heads = heads.join(line, _same(heads, line, key, after)).select(
-        *own, *after, F.substring("text", F.lit(1), F.floor(F.col("chars") / 4).cast("int")).alias("head")
-    )
+    # Both joins read one exchange of the texts.
+    heads = (
+        texts.join(line, ["k1", "k2"])
+        .groupBy("p1", "p2")
+        .agg(
+            F.first("doc_id").alias("next_doc_id"), F.first("k1").alias("n1"), F.first("k2").alias("n2"),
+            F.first(F.substring("text", F.lit(1), F.floor(F.col("chars") / 4).cast("int"))).alias("head"),
+        )
+    )
+    heads = heads.withColumnsRenamed({"p1": "k1", "p2": "k2"})
     length = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (length - F.floor(length / 4)).cast("int")), "head")
-    return texts.join(heads, _same(texts, heads, key, own)).select(
-        "doc_id", "digest", *after, "text", edited.alias("edited_text")
+    return texts.join(heads, ["k1", "k2"]).select(
+        "doc_id", "k1", "k2", "next_doc_id", "n1", "n2", "text", edited.alias("edited_text")
     )
 
 
 def fingerprinted(docs: DataFrame, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (binary), near_edited, near_next.
+    """doc_id, next_doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (binary), near_edited, near_next.
 
     Cases as in ``edited_texts``.
     """
     made = stored(
         edited_texts(docs).select(
-            "doc_id", "digest", "next_id", "next_digest",
+            "doc_id", "k1", "k2", "next_doc_id", "n1", "n2",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
             fingerprint(F.col("text"), size).alias("fingerprint"),
@@ -170,12 +172,10 @@ def fingerprinted(docs: DataFrame, size: int = WORDS_PER_SHINGLE) -> DataFrame:
         ),
         "fingerprints",
     )
-    others = made.select(
-        F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), F.col("fingerprint").alias("other")
-    ).dropDuplicates(["other_id", "other_digest"])
+    others = made.groupBy(F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.first("fingerprint").alias("other"))
     return (
-        made.join(others, _same(made, others, ("next_id", "next_digest"), ("other_id", "other_digest")))
+        made.join(others, ["n1", "n2"])
         .withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
         .withColumn("near_next", likeness(F.col("fingerprint"), F.col("other")))
-        .drop("other_id", "other_digest", "other", "digest", "next_id", "next_digest")
+        .drop("other", "k1", "k2", "n1", "n2")
     )
