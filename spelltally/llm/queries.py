@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelltally.llm import decontamination, minhash, mixing, quality, sharding, simhash
+from spelltally.llm import decontamination, deobfuscation, minhash, mixing, quality, sharding, simhash
 from spelltally.llm.common import table, whole
 
 SHARDS = 40
@@ -49,6 +49,12 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    labels = table(spark, folder, "labels", "doc_id", "toxic")
+    return deobfuscation.score_toxicity(docs, labels).drop("text")
+
+
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     made = minhash.fingerprinted(table(spark, folder, "documents", "doc_id", "text"))
     return made.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_scores": quality_scores,
     "op5_mix_sources": mixed,
     "op6_benchmark_leaks": leaked,
+    "op8_toxicity_scores": toxicity_scores,
     "op9_fingerprints": fingerprints,
     "op10_near_copies": near_copies,
 }
