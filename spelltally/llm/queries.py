@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelltally.llm import decontamination, deobfuscation, minhash, mixing, quality, sharding, simhash
+from spelltally.llm import (
+    decontamination,
+    deobfuscation,
+    language_model,
+    minhash,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+)
 from spelltally.llm.common import table, whole
 
 SHARDS = 40
@@ -32,6 +41,10 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(docs, labels).drop("text")
 
 
+def language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def mixed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).drop("text")
@@ -63,6 +76,7 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharded,
     "op3_quality_scores": quality_scores,
+    "op4_language_scores": language_scores,
     "op5_mix_sources": mixed,
     "op6_benchmark_leaks": leaked,
     "op8_toxicity_scores": toxicity_scores,
