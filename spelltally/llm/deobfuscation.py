@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from spelltally.llm.common import fold, stored, without
 
 FOLDS, HELD_OUT = 4, 2
+# The classifier learns from about so many labels at most, drawn by hash; they are sent to all tasks.
+MOST_LABELS = 300_000
 TOXIC_FROM = 0.3
 # Readings of signs and digits.
 READINGS = {
@@ -34,7 +36,9 @@ LM_SMOOTHING = 0.1
 EDGE = ".,;:!?'\"()[]{}<>«»¡¿…-–—_*#%&~/\\="
 PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLED = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
+# Cheap to look for, and part of all that SPACED matches.
+MAYBE_SPACED = re.compile(r" [^\W_] [^\W_](?!\S)")
 EDGE_RUN = re.compile(r"([^\w\s])\1{2,}$")
 # Characters counted at once.
 PORTION = 1_000_000
@@ -93,6 +97,7 @@ class Decoder:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
         self.known: dict[str, str] = {}
+        self.harmless: set[str] = set()
 
     def search(self, chars: str, gaps: bool = False) -> str:
         """The likeliest reading. With ``gaps``, each character stood apart: words may end between any two."""
@@ -130,26 +135,51 @@ class Decoder:
             return core
         return self.search(core)
 
+    def tokens(self, text: str | None) -> list[str]:
+        """The lower-cased tokens of a whole text, letters set apart put together."""
+        text = (text or "").lower()
+        if MAYBE_SPACED.search(text):
+            text = SPACED.sub(lambda m: self.search(m[0].replace(" ", ""), gaps=True), text)
+        return text.split()
+
+    def word(self, token: str) -> str:
+        word = self.known.get(token)
+        if word is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            word = self.known[token] = self.token(token)
+        return word
+
     def words(self, text: str | None) -> list[str]:
         """The restored words of a whole text, lower-cased, in order."""
-        text = (text or "").lower()
-        text = SPACED.sub(lambda m: self.search(re.sub(r"[ .\-_*]", "", m[0]), gaps=True), text)
-        out, known = [], self.known
-        for token in text.split():
-            word = known.get(token)
-            if word is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                word = known[token] = self.token(token)
-            if word:
-                out.append(word)
-        return out
+        return [word for word in map(self.word, self.tokens(text)) if word]
+
+    def evidence(self, text: str | None, weights: dict[str, float]) -> float:
+        """The sum over different words of the weight of each one's strongest feature."""
+        found = {}
+        for token in set(self.tokens(text)) - self.harmless:
+            word = self.token(token)
+            weight = max((weights[f] for f in (word, *beginnings(word)) if f in weights), default=0.0)
+            if weight:
+                found[word] = weight
+            else:
+                if len(self.harmless) >= REMEMBERED:
+                    self.harmless.clear()
+                self.harmless.add(token)
+        return sum(found[word] for word in sorted(found))
 
 
-def features(words: list[str]) -> Iterator[tuple[str, ...]]:
-    """Each different word with its longer beginnings (marked by a hyphen)."""
-    for word in set(words):
-        yield (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
+def beginnings(word: str) -> Iterator[str]:
+    """The beginnings of a longer word, marked by a hyphen."""
+    return (word[:n] + "-" for n in PREFIXES if len(word) > n)
+
+
+def features(words: list[str]) -> set[str]:
+    """The different words of a text and their beginnings."""
+    out = set(words)
+    for n in PREFIXES:
+        out |= {word[:n] + "-" for word in words if len(word) > n}
+    return out
 
 
 def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
@@ -171,7 +201,7 @@ def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
 
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                counts[int(label)].update({f for some in features(decoder.words(text)) for f in some})
+                counts[int(label)].update(features(decoder.words(text)))
                 counts[int(label)][""] += 1
                 if len(counts[0]) + len(counts[1]) > COUNTED:
                     yield told()
@@ -202,18 +232,13 @@ def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
     return {r.feature: r.weight for r in chosen.collect()}
 
 
-def evidence(words: list[str], weights: dict[str, float]) -> float:
-    """The sum over different words of the weight of each one's strongest feature."""
-    return sum(max((weights[f] for f in some if f in weights), default=0.0) for some in features(words))
-
-
 def calibration(training: DataFrame, costs: np.ndarray, weights: dict[str, float]) -> np.ndarray:
     """The share of toxic texts at each step of evidence, made non-decreasing; 0.5 without labels."""
 
     def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(costs)
         for batch in batches:
-            steps = [min(STEPS - 1, round(evidence(decoder.words(text), weights))) for text in batch["text"]]
+            steps = [min(STEPS - 1, round(decoder.evidence(text, weights))) for text in batch["text"]]
             yield pd.DataFrame({"step": steps, "label": batch["label"]})
 
     counts = np.zeros((STEPS, 2))
@@ -246,10 +271,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, restored: bool = False) -
     docs = without(docs, "held_out", "score", "predicted", "restored_text")
     costs = character_costs(docs)
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label IN (0, 1)")
+    share = min(1.0, MOST_LABELS / max(marks.count(), 1))
+    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(share * 10**6))
     training = (
         docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
         .select("doc_id", "text")
-        .join(marks, "doc_id")
+        .join(F.broadcast(marks), "doc_id")
         .groupBy("text")
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
@@ -263,11 +290,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, restored: bool = False) -
         table, known = sent.value
         decoder = Decoder(table)
         for batch in texts:
-            words = [decoder.words(text) for text in batch]
             yield pd.DataFrame(
                 {
-                    "score": [toxicity(evidence(w, known), shares) for w in words],
-                    "restored_text": [" ".join(w) if restored else None for w in words],
+                    "score": [toxicity(decoder.evidence(text, known), shares) for text in batch],
+                    "restored_text": [" ".join(decoder.words(text)) if restored else None for text in batch],
                 }
             )
 
