@@ -11,9 +11,11 @@ from spelltally.llm import (
     decontamination,
     deobfuscation,
     language_model,
+    licences,
     minhash,
     mixing,
     quality,
+    quotations,
     sharding,
     simhash,
 )
@@ -35,6 +37,22 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def licences_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of their source, in folders of a thousand, a hundred and ten ids."""
+    steps = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)]
+    files = table(spark, folder, "documents", "doc_id", "text", "source").select(
+        F.concat_ws("/", F.coalesce("source", F.lit("none")), *steps, F.col("doc_id").cast("string")).alias("path"), "text"
+    )
+    found = licences.scan(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", r"(-?\d+)$", 1).try_cast("long"))
+
+
+def reply_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations written as mail, and linked again by what they quote."""
+    chats = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return quotations.linked(quotations.as_mail(chats)).drop("text")
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     labels = table(spark, folder, "labels", "doc_id", "quality")
@@ -75,10 +93,12 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharded,
+    "op2_licences": licences_of_files,
     "op3_quality_scores": quality_scores,
     "op4_language_scores": language_scores,
     "op5_mix_sources": mixed,
     "op6_benchmark_leaks": leaked,
+    "op7_reply_order": reply_order,
     "op8_toxicity_scores": toxicity_scores,
     "op9_fingerprints": fingerprints,
     "op10_near_copies": near_copies,
