@@ -28,7 +28,7 @@ from spelltally.llm.common import fold, stored
 FOLDS, HELD_OUT = 7, 2
 # Of the training texts, one in so many is predicted from the others to learn the weights.
 DELETED = 10
-PORTION_TOKENS = 4_000_000
+PORTION_TOKENS = 2_000_000
 # Least number of counting groups, and groups per input partition: a group's memory stays bounded.
 LEAST_GROUPS, GROUPS_PER_PARTITION = 96, 3
 END = b""
@@ -59,7 +59,8 @@ class Portion:
     parts: np.ndarray  # per text: 0 counted, 1 deleted, 2 held out
     hashes: np.ndarray
 
-    def __post_init__(self):
+    def paired(self) -> Portion:
+        """Adds the pairs of tokens and the keys of words and pairs."""
         ends = np.cumsum(self.lengths)
         self.starts = ends - self.lengths
         before = np.empty_like(self.tokens)
@@ -67,7 +68,8 @@ class Portion:
         before[self.starts] = 0
         self.before = before
         size = len(self.hashes)
-        pairs, self.pair_of = np.unique(before.astype(np.int64) * size + self.tokens, return_inverse=True)
+        pairs, pair_of = np.unique(before.astype(np.int64) * size + self.tokens, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
         left, right = pairs // size, pairs % size
         with np.errstate(over="ignore"):
             mixed = self.hashes[left] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[right]
@@ -75,6 +77,7 @@ class Portion:
             mixed ^= mixed >> np.uint64(29)
         # The last bit tells words from pairs.
         self.keys = np.concatenate([self.hashes & ~np.uint64(1), mixed | np.uint64(1)])
+        return self
 
     def dealt(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """The group of each key, and an order by group and key."""
@@ -129,10 +132,13 @@ def portions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, Porti
             ids.append(None if key is None or key != key else key)
             size += len(words) + 1
             if size >= PORTION_TOKENS:
-                yield closed()
+                made = closed()
                 known, texts, parts, ids, size = {END: 0}, [], [], [], 0
+                yield made
     if texts:
-        yield closed()
+        made = closed()
+        known, texts = {END: 0}, []
+        yield made
 
 
 def _counted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +208,7 @@ def _joined(portion_rows: pd.DataFrame, answers: pd.DataFrame, groups: int) -> p
     if not len(portion_rows):
         return pd.DataFrame([(*[None] * 8, n) for n in answers["numbers"]], columns=columns)
     row = portion_rows.iloc[0]
-    portion = Portion.of(row)
+    portion = Portion.of(row).paired()
     _, order = portion.dealt(groups)
     answers = answers.sort_values("group")
     counted, deleted = (np.zeros(len(order), dtype=np.uint32) for _ in range(2))
@@ -222,7 +228,7 @@ def _joined(portion_rows: pd.DataFrame, answers: pd.DataFrame, groups: int) -> p
 
 def _scored(rows: pd.DataFrame, table: np.ndarray, tokens: float, types: float) -> Iterator[pd.DataFrame]:
     for row in rows.itertuples(index=False):
-        portion = Portion.of(row)
+        portion = Portion.of(row).paired()
         counts = unpacked(row.counts, np.uint32).astype(np.float64)
         words, pairs = counts[: len(portion.hashes)], counts[len(portion.hashes) :]
         word, context = words[portion.tokens], words[portion.before]
@@ -261,7 +267,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, _, portion in portions(batches):
-            group, order = portion.dealt(groups)
+            group, order = portion.paired().dealt(groups)
             counted, deleted = portion.counts(0)[order], portion.counts(1)[order]
             keys, cuts = portion.keys[order], np.searchsorted(group[order], np.arange(groups + 1))
             rows = [
