@@ -89,25 +89,24 @@ def threads(links: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, thread_turn (the thread's first message) and depth of linked messages.
 
     Pointers double their reach each turn, so a thread of n messages takes log2 n turns;
-    each is written and read again. Parents are earlier, so there are no circles.
+    each is written and read again, and only messages that aren't there yet are joined.
+    Parents are earlier, so there are no circles.
     """
     reach = stored(
-        links.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("depth")),
+        links.select(
+            "conv_id", "turn", "parent_turn", F.col("parent_turn").alias("up"),
+            F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open"),
+        ),
         "threads",
-    )
-    while True:
+    )
+    while not reach.where("open").isEmpty():
         above = reach.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"))
-        joined = reach.join(above, ["conv_id", "up"], "left")
-        next_reach = stored(
-            joined.select(
-                "conv_id", "turn", "parent_turn", F.coalesce("higher", "up").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved"),
-            ),
-            "threads",
+        moved = reach.where("open").join(above, ["conv_id", "up"], "left").select(
+            "conv_id", "turn", "parent_turn", F.coalesce("higher", "up").alias("up"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("open"),
         )
-        reach = next_reach.drop("moved")
-        if next_reach.where("moved").isEmpty():
-            return reach.withColumnRenamed("up", "thread_turn")
+        reach = stored(reach.where("NOT open").unionByName(moved), "threads")
+    return reach.drop("open").withColumnRenamed("up", "thread_turn")
 
 
 def linked(messages: DataFrame) -> DataFrame:
