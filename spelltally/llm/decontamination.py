@@ -147,16 +147,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_items
     return reduce(DataFrame.unionByName, results)
 
 
+def _clean_under(sent, rate: float):
+    @F.pandas_udf("boolean")
+    def is_clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, rate)
+        for batch in texts:
+            yield batch.map(lambda text: not matcher.search(text)).astype("bool")
+
+    return is_clean
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that hold no benchmark item. Each text decides for itself, so nothing is joined."""
     for block in _blocks(benchmark, block_items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        @F.pandas_udf("boolean")
-        def is_clean(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            matcher = Matcher(sent.value, rate)
-            for batch in texts:
-                yield batch.map(lambda text: not matcher.search(text))
-
-        docs = docs.where(is_clean("text"))
+        docs = docs.where(_clean_under(sent, rate)(F.col("text")))
     return docs
