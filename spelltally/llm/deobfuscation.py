@@ -194,7 +194,7 @@ def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
 
         def told() -> pd.DataFrame:
             names = list(counts[1].keys() | counts[0].keys())
-            rows = {"feature": names, "toxic": [counts[1][n] for n in names], "clean": [counts[0][n] for n in names]}
+            rows = {"feature": pd.Series(names, dtype="object"), "toxic": [counts[1][n] for n in names], "clean": [counts[0][n] for n in names]}
             for c in counts:
                 c.clear()
             return pd.DataFrame(rows)

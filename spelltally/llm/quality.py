@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spelltally.llm.common import fold, stored, without
 
@@ -75,7 +76,7 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def statistics_of(texts: pd.Series) -> pd.Series:
     return texts.map(statistics)
 

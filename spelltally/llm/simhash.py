@@ -247,7 +247,8 @@ def _labelled(codes: DataFrame, distance: int) -> DataFrame:
     distinct = stored(codes.groupBy("code").agg(F.min("doc_id").alias("least")), "near-codes")
     connected = components(links(distinct.select("code"), distance))
     rooted = distinct.join(connected, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join can split the rows of a component with many fingerprints.
+    groups = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-groups")
     return rooted.select("code", "root").join(groups, "root")
 
 

@@ -1,0 +1,96 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_cases import FOLDER, ODD
+
+from spelltally.llm import deobfuscation, language_model, quality
+
+DOUBLE = "/root/testdata/sf0.01"
+
+
+def fold(key, folds):
+    return zlib.crc32(str(key).encode()) % folds
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet(f"{DOUBLE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DOUBLE}/labels.parquet")
+    rows = quality.score_quality(docs, labels).join(labels, "doc_id").toPandas()
+    assert all(rows["held_out"] == [fold(d, 5) == 0 for d in rows["doc_id"]])
+    own = rows[rows["held_out"]]
+    assert (own["predicted"] == own["quality"]).mean() > 0.95
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs = spark.read.parquet(f"{DOUBLE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DOUBLE}/labels.parquet")
+    rows = deobfuscation.score_toxicity(docs, labels).join(labels, "doc_id").toPandas()
+    assert all(rows["held_out"] == [fold(d, 4) == 2 for d in rows["doc_id"]])
+    own = rows[rows["held_out"]]
+    assert (own["predicted"] == own["toxic"]).mean() > 0.9
+
+
+def test_labels_of_held_out_texts_do_not_matter(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    turned = labels.selectExpr("doc_id", "if(crc32(cast(doc_id AS string)) % 5 = 0, 1 - quality, quality) AS quality")
+    a, b = (quality.score_quality(docs, x).toPandas().sort_values("doc_id")["score"].to_numpy() for x in (labels, turned))
+    assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize(
+    ("text", "restored"),
+    [("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("IIIDIOOOT!!", "idiot"), ("th3 cl0wn$$$", "the clown"), ("2024", "2024"), ("", "")],
+)
+def test_restoring(text, restored):
+    plain = "the idiot and the clown said the idiot is the clown " * 50
+    counts = deobfuscation.trigram_counts(plain).reshape(64, 64, 64) + 0.1
+    decoder = deobfuscation.Decoder(-np.log(counts / counts.sum(axis=2, keepdims=True)))
+    assert " ".join(decoder.words(text)) == restored
+
+
+def test_language_scores_query(provided, documents):
+    rows = provided("op4_language_scores").set_index("doc_id")
+    tokens = {d: t.encode().lower().split() + [b""] for d, t in zip(documents["doc_id"], documents["text"])}
+    seen = Counter(w for d, words in tokens.items() if fold(d, 7) != 2 for w in words)
+    total, types = sum(seen.values()), len(seen)
+    for doc, words in tokens.items():
+        row = rows.loc[doc]
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(words), sum(w in seen for w in words), total)
+        assert row.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (total + types + 1)) for w in words))
+        assert row.score < 0
+    own = rows[rows["held_out"]]
+    assert own["score"].sum() > own["base_score"].sum()
+
+
+def test_portions_do_not_change_scores(spark, monkeypatch, provided):
+    monkeypatch.setattr(language_model, "PORTION_TOKENS", 3000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = language_model.score_texts(docs).toPandas().sort_values("doc_id")
+    assert np.allclose(rows["score"], provided("op4_language_scores").sort_values("doc_id")["score"])
+
+
+def test_chances_add_up_to_one(spark):
+    """Over all words and one unknown, after each of two contexts."""
+    words = ["a", "b", "c"]
+    training = [(i, " ".join(words[(i + k) % 3] for k in range(6))) for i in range(60)]
+    model = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame([*training, *((1000 + j, "") for j in range(40))], "doc_id long, text string")).collect()}
+    assert all(10**r.score <= 1 for r in model.values())
+    table = language_model.interpolation(np.zeros(language_model.CONTEXTS * language_model.RATIOS * language_model.COUNTS), 10, 3)
+    assert np.allclose(table.sum(axis=1), 1) and table[0, 0] == 0
+
+
+def test_scores_of_odd_rows(odd, empty, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    none = labels.limit(0)
+    for score in (quality.score_quality, deobfuscation.score_toxicity):
+        for given in (labels, none):
+            rows = score(odd, given).toPandas()
+            assert len(rows) == len(ODD) and rows["score"].between(0, 1).all()
+        assert score(empty, labels).count() == 0
+    rows = language_model.score_texts(odd).toPandas()
+    assert len(rows) == len(ODD) and (rows["n_tokens"] >= 1).all() and np.isfinite(rows["score"]).all()
+    assert language_model.score_texts(empty).count() == 0
