@@ -243,7 +243,10 @@ def typed(columns: str) -> dict[str, str]:
 
 
 def digest(columns: str, seed: int) -> str:
-    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns.split(", "))
+    texts = ", ".join(
+        f"coalesce('+' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in columns.split(", ")
+    )
     return f"md5(concat_ws('|', {texts}, '{seed}'))"
 
 
@@ -382,7 +385,7 @@ SELECTS = {
         LIMIT {STUDY.sample_size}""",
     "scan_table": "SELECT * FROM company_ref",
     "scan_parquet_columns": "SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem",
-    "csv_roundtrip": "SELECT rcid, employee_count FROM employees",
+    "csv_roundtrip": "SELECT rcid, hq_country FROM company_ref",
     "managed_table_roundtrip": f"SELECT {COMPANY} FROM companies",
     "parquet_export_roundtrip": "SELECT * FROM focal_linkedin",
     "export_dataframe": "SELECT DISTINCT rics_k50, rics_k400 FROM company_ref",
@@ -397,19 +400,19 @@ SELECTS = {
     "check_nonnegative": check(
         "nonnegative", "employee_count", "SELECT count(*) FROM employees WHERE employee_count < 0"
     ),
-    "check_one_to_one": check("one_to_one", "firm_employee_counts", surplus("employees", "rcid"))
+    "check_one_to_one": check("one_to_one", "companies", surplus("companies", "rcid"))
     + " UNION ALL "
-    + check("one_to_one", "firm_posting_counts", surplus("postings", "rcid")),
+    + check("one_to_one", "user_positions", surplus("user_positions", "rcid")),
     "check_same_universe": check(
         "same_universe",
-        "firm_employee_counts",
-        "SELECT count(*) FROM postings WHERE rcid NOT IN (SELECT rcid FROM employees)",
+        "companies",
+        "SELECT count(DISTINCT rcid) FROM postings_indeed WHERE rcid NOT IN (SELECT rcid FROM companies)",
     )
     + " UNION ALL "
     + check(
         "same_universe",
-        "firm_posting_counts",
-        "SELECT count(*) FROM employees WHERE rcid NOT IN (SELECT rcid FROM postings)",
+        "postings_indeed",
+        "SELECT count(*) FROM companies WHERE rcid NOT IN (SELECT rcid FROM postings_indeed)",
     ),
     "reconcile_counts": " UNION ALL ".join(
         check(

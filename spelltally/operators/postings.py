@@ -25,7 +25,7 @@ def posting_keys(
     under several firms goes to the smallest ``rcid``.
     """
     labelled = [
-        universe.keep(posted_within(frame.dropna(subset=["rcid", "job_id"]), period)).select(
+        universe.keep(posted_within(frame.where("rcid IS NOT NULL AND job_id IS NOT NULL"), period)).select(
             F.lit(source).alias("source"), "job_id", "rcid"
         )
         for source, frame in sources.items()

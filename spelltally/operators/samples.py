@@ -19,9 +19,13 @@ def random_rows(frame: DataFrame, number: int, seed: int) -> DataFrame:
 def hashed_rows(frame: DataFrame, number: int, seed: int) -> DataFrame:
     """A seeded draw that any engine repeats: the rows with the smallest digest.
 
-    The digest covers all columns, so only identical rows can tie. Each task keeps a heap
+    The digest covers all columns, each with its length and nulls marked, so only identical
+    rows can tie. Each task keeps a heap
     of ``number`` rows, so nothing is sorted and only those heaps are merged.
     """
-    text = [F.coalesce(F.col(name).cast("string"), F.lit("~")) for name in frame.columns]
+    text = []
+    for name in frame.columns:
+        value = F.col(name).cast("string")
+        text.append(F.coalesce(F.concat(F.lit("+"), F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
     digest = F.md5(F.concat_ws("|", *text, F.lit(str(seed))))
     return frame.orderBy(digest).limit(number)

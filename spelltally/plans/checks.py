@@ -74,22 +74,22 @@ def nonnegative_counts(tables, study: Study) -> DataFrame:
 
 
 def firm_join(tables, study: Study) -> DataFrame:
-    """Employee and posting counts hold each firm once."""
+    """Companies join spells one to one: the companies hold each firm once, the spells don't."""
     return quality.check_one_to_one(
-        firm_plans.firm_employee_counts(tables, study),
-        firm_plans.firm_posting_counts(tables, study),
+        companies(tables, study).select("rcid"),
+        tables.frame("user_positions", "rcid"),
         "rcid",
-        ("firm_employee_counts", "firm_posting_counts"),
+        ("companies", "user_positions"),
     )
 
 
 def same_firms(tables, study: Study) -> DataFrame:
-    """Employee and posting counts cover the same firms."""
+    """The study's companies and the firms with postings are the same; each side lacks some."""
     return quality.check_same_universe(
-        firm_plans.firm_employee_counts(tables, study),
-        firm_plans.firm_posting_counts(tables, study),
+        companies(tables, study).select("rcid"),
+        tables.frame("postings_indeed", "rcid"),
         "rcid",
-        ("firm_employee_counts", "firm_posting_counts"),
+        ("companies", "postings_indeed"),
     )
 
 

@@ -58,7 +58,7 @@ def company_total(tables, study: Study) -> DataFrame:
 
 
 def run_extraction(
-    tables, study: Study, folder: str, fmt: str = "parquet", single_part: bool = False
+    tables, study: Study, folder: str, fmt: str = "parquet"
 ) -> dict[str, DataFrame]:
     """Write the four extracts, each as a table and as Parquet; returns what was written.
 
@@ -66,9 +66,7 @@ def run_extraction(
     """
 
     def export(name: str, frame: DataFrame) -> DataFrame:
-        return export_dataframe(
-            frame, f"{study.name}_{name}", f"{folder}/{name}", single_part, fmt
-        )
+        return export_dataframe(frame, f"{study.name}_{name}", f"{folder}/{name}", fmt=fmt)
 
     written = {"company_ref": export("company_ref", companies(tables, study))}
     stored = written["company_ref"]

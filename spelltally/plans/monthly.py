@@ -13,7 +13,7 @@ from spelltally.plans.extraction import universe
 def monthly_postings(tables, study: Study, board: str, focal: bool = False) -> DataFrame:
     """Observed months only."""
     columns = ("rcid", "job_id", "post_date") + (("job_category",) if focal else ())
-    postings = tables.frame(board, *columns).dropna(subset=["job_id"])
+    postings = tables.frame(board, *columns).where("job_id IS NOT NULL")
     if focal:
         postings = of_categories(postings, study.categories)
     return posting_ops.monthly_counts(universe(tables, study).keep(postings))

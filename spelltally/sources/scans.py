@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+CSV_READ = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "multiLine": "true",
+    "mode": "FAILFAST",
+}
+
+
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table or view."""
     return spark.read.table(name)
@@ -20,6 +33,10 @@ def scan_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType | str, *columns: str
 ) -> DataFrame:
-    """CSV with a header and a declared schema; inference would cost a pass and alter values."""
-    frame = spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header and a declared schema; inference would cost a pass and alter values.
+
+    Texts may hold line breaks, so each file is read by one task; files are as many as the
+    tasks that wrote them. A malformed line is an error.
+    """
+    frame = spark.read.schema(schema).options(**CSV_READ).csv(path)
     return frame.select(*columns) if columns else frame

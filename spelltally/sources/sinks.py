@@ -8,8 +8,16 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-# More rows than this are never funnelled into one output file.
-SINGLE_PART_ROWS = 1_000_000
+# Nothing is trimmed.
+CSV_WRITTEN = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": '""',
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_table(frame: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
@@ -27,10 +35,10 @@ def write_table(frame: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
 def write_parquet(frame: DataFrame, path: str, single_part: bool = False) -> DataFrame:
     """Replace a Parquet dataset and read it back.
 
-    ``single_part`` asks for one file that is easy to download. It is honoured up to
-    ``SINGLE_PART_ROWS`` rows; a larger frame is written in parallel all the same.
+    ``single_part`` makes one file that is easy to download, at any size. One task writes
+    it, so it is for results whose size the taxonomy or a sample size bounds.
     """
-    if single_part and frame.count() <= SINGLE_PART_ROWS:
+    if single_part:
         # repartition, not coalesce: the work before the write keeps its parallelism.
         frame = frame.repartition(1)
     frame.write.mode("overwrite").parquet(path)
@@ -38,8 +46,12 @@ def write_parquet(frame: DataFrame, path: str, single_part: bool = False) -> Dat
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """Replace a CSV dataset with a header line per part file and no index column."""
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    """Replace a CSV dataset with a header line per part file and no index column.
+
+    Texts come back as they are, with padding, quotes, commas, backslashes and line breaks;
+    only the empty text comes back as null, which CSV readers don't tell apart.
+    """
+    frame.write.mode("overwrite").options(**CSV_WRITTEN).csv(path)
 
 
 def export_dataframe(

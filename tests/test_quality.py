@@ -113,3 +113,10 @@ def test_samples(spark):
     assert drawn == rows_of(samples.hashed_rows(frame.repartition(7), 10, 1))
     assert drawn != rows_of(samples.hashed_rows(frame, 10, 2))
     assert len(rows_of(samples.hashed_rows(frame, 1000, 1))) == 100
+
+
+def test_digest_tells_rows_apart(spark):
+    rows = [(None, "a"), ("~", "a"), ("a|b", "c"), ("a", "b|c"), ("", "a"), ("-", "a")]
+    frame = spark.createDataFrame(rows, "x string, y string")
+    draws = [samples.hashed_rows(frame.repartition(n, "y"), 3, 1).collect() for n in (1, 2, 5)]
+    assert draws[0] == draws[1] == draws[2]

@@ -52,15 +52,20 @@ def test_table_overwrite_replaces_rows_and_schema(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
-def test_single_part_up_to_the_row_limit(spark, tmp_path, monkeypatch):
+def test_single_part_is_one_file(spark, tmp_path):
     frame = spark.range(0, 100, 1, 4)
     sinks.write_parquet(frame, str(tmp_path / "many"))
     assert len(files(tmp_path / "many", ".parquet")) == 4
-    sinks.write_parquet(frame, str(tmp_path / "one"), single_part=True)
-    assert len(files(tmp_path / "one", ".parquet")) == 1
-    monkeypatch.setattr(sinks, "SINGLE_PART_ROWS", 99)
-    back = sinks.write_parquet(frame, str(tmp_path / "large"), single_part=True)
-    assert len(files(tmp_path / "large", ".parquet")) == 4 and back.count() == 100
+    back = sinks.write_parquet(frame, str(tmp_path / "one"), single_part=True)
+    assert len(files(tmp_path / "one", ".parquet")) == 1 and back.count() == 100
+
+
+def test_csv_keeps_texts(spark, tmp_path):
+    texts = [" padded ", "", None, 'a "quote"', "a,comma", "back\\slash", "line\nbreak", "\ttab", "end\\"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sinks.write_csv(frame, str(tmp_path / "texts"))
+    back = scans.scan_csv(spark, str(tmp_path / "texts"), frame.schema)
+    assert [r.text for r in back.orderBy("id").collect()] == [t or None for t in texts]
 
 
 def test_kept_releases_the_frame(spark):
