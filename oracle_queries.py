@@ -41,6 +41,9 @@ SPELL = "position_id, user_id, rcid, startdate, enddate, job_category"
 COMPANY = "rcid, company, hq_country, rics_k50, rics_k400"
 POSITION = "position_id, user_id, rcid, startdate, enddate, job_category, role_k1500, region, country"
 POSTING = "job_id, rcid, post_date, job_category"
+EDUCATION = "user_id, education_number, startdate, degree, university_country"
+AGE = "user_id, earliest_grad_year, estimated_birth_year, age"
+DEMOGRAPHY = "user_id, fullname, f_prob, prestige, user_country"
 
 # Named building blocks; each query takes the ones it names, in this order.
 BLOCKS = {name: view.sql() for name, view in VIEWS.items()}
@@ -205,14 +208,19 @@ def check(kind: str, subject: str, violations: str) -> str:
 
 
 def key_checks(source: str, key: str) -> str:
+    subject = f"{source}.{key.replace(', ', ' + ')}"
     return " UNION ALL ".join(
         [
-            check("key_not_null", f"{source}.{key}", f"SELECT count(*) FROM {source} WHERE {key} IS NULL"),
-            check("key_unique", f"{source}.{key}", surplus(source, key)),
+            check("key_not_null", subject, f"SELECT count(*) FROM {source} WHERE {any_null(key)}"),
+            check("key_unique", subject, surplus(source, key)),
         ]
     )
 
 
+def any_null(key: str) -> str:
+    return " OR ".join(f"{column} IS NULL" for column in key.split(", "))
+
+
 def surplus(source: str, key: str) -> str:
     return f"SELECT (SELECT count(*) FROM {source}) - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {source}))"
 
@@ -225,21 +233,27 @@ def profile(source: str, columns: dict[str, str], key: str) -> str:
             f"'{metric}' AS metric, ({value})::BIGINT AS value"
         )
 
+    label = key.replace(", ", " + ")
     lines = [line("*", None, "row_count", f"SELECT count(*) FROM {source}")]
     lines += [
         line(c, kind, "null_count", f"SELECT count(*) FROM {source} WHERE {c} IS NULL")
         for c, kind in columns.items()
     ]
     lines += [
-        line(key, None, "key_null_rows", f"SELECT count(*) FROM {source} WHERE {key} IS NULL"),
-        line(key, None, "key_surplus_rows", surplus(source, key)),
+        line(label, None, "key_null_rows", f"SELECT count(*) FROM {source} WHERE {any_null(key)}"),
+        line(label, None, "key_surplus_rows", surplus(source, key)),
     ]
     return " UNION ALL ".join(lines)
 
 
 def typed(columns: str) -> dict[str, str]:
-    longs = ("rcid", "user_id", "position_id", "job_id")
-    return {c: "bigint" if c in longs else "string" for c in columns.split(", ")}
+    kinds = {
+        "bigint": ("rcid", "user_id", "position_id", "job_id"),
+        "int": ("education_number", "earliest_grad_year", "estimated_birth_year", "age"),
+        "double": ("f_prob", "prestige"),
+    }
+    kind_of = {column: kind for kind, names in kinds.items() for column in names}
+    return {c: kind_of.get(c, "string") for c in columns.split(", ")}
 
 
 def digest(columns: str, seed: int) -> str:
@@ -378,11 +392,21 @@ SELECTS = {
             profile("user_positions", typed(POSITION), "position_id"),
             profile("postings_linkedin", typed(POSTING), "job_id"),
             profile("postings_indeed", typed(POSTING), "job_id"),
+            profile("user_education", typed(EDUCATION), "user_id, education_number"),
+            profile("user_age", typed(AGE), "user_id"),
+            profile("user_demography", typed(DEMOGRAPHY), "user_id"),
         ]
     ),
     "sample_random": f"""
         SELECT {SPELL} FROM user_positions ORDER BY {digest(SPELL, 2022)}
         LIMIT {STUDY.sample_size}""",
+    "sample_random_age": f"SELECT {AGE} FROM user_age ORDER BY {digest(AGE, 2022)} LIMIT {STUDY.sample_size}",
+    "sample_random_demography": f"""
+        SELECT user_id, fullname, round(f_prob, 6) AS f_prob, round(prestige, 6) AS prestige, user_country
+        FROM (SELECT * FROM user_demography ORDER BY {digest(DEMOGRAPHY, 2022)} LIMIT {STUDY.sample_size})""",
+    "sample_limit_check": f"""
+        SELECT least({STUDY.sample_size}, count(*)) AS sample_rows, 0::BIGINT AS strange_rows
+        FROM user_positions""",
     "scan_table": "SELECT * FROM company_ref",
     "scan_parquet_columns": "SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem",
     "csv_roundtrip": "SELECT rcid, hq_country FROM company_ref",
@@ -395,6 +419,9 @@ SELECTS = {
             key_checks("user_positions", "position_id"),
             key_checks("postings_linkedin", "job_id"),
             key_checks("postings_indeed", "job_id"),
+            key_checks("user_education", "user_id, education_number"),
+            key_checks("user_age", "user_id"),
+            key_checks("user_demography", "user_id"),
         ]
     ),
     "check_nonnegative": check(
@@ -430,4 +457,45 @@ SELECTS = {
     ),
 }
 
+# Results of a whole report, by the query that makes the same rows.
+REPORT = {
+    name: name
+    for name in (
+        "companies_by_country", "firm_employee_counts", "firm_posting_counts", "firm_focal_counts",
+        "active_firms", "employing_by_country", "posting_by_country", "active_by_country",
+        "role_composition", "role_concentration", "role_selection_diagnostics",
+        "date_diagnostics_positions", "date_diagnostics_trimmed",
+    )
+} | {
+    "employee_count_description": "firm_size_describe",
+    "employee_count_cutoff": "truncation_cutoff",
+    "employee_count_histogram": "truncated_histogram",
+    "focal_employee_count_description": "focal_size_stats",
+    "focal_employee_count_cutoff": "truncation_cutoff",
+    "focal_employee_count_histogram": "focal_histogram",
+    "date_diagnostics_postings": "date_diagnostics_postings",
+    "monthly_postings_linkedin": "monthly_postings_linkedin",
+    "monthly_focal_postings_linkedin": "monthly_focal_postings_linkedin",
+    "monthly_postings_indeed": "monthly_postings_indeed",
+    "monthly_focal_postings_indeed": "monthly_focal_postings_indeed",
+}
+
+
+def counted(label: str, selects: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS {label}, count(*) AS row_count FROM ({select})" for name, select in selects.items()
+    )
+
+
+SELECTS["extraction_run"] = counted(
+    "extract",
+    {
+        "company_ref": "SELECT * FROM companies",
+        "user_positions": "SELECT * FROM focal_positions",
+        "postings_linkedin": "SELECT * FROM focal_linkedin",
+        "postings_indeed": "SELECT * FROM focal_indeed",
+    },
+)
+SELECTS["report_run"] = counted("result", {name: SELECTS[query] for name, query in REPORT.items()})
+
 ORACLE = {name: with_blocks(select) for name, select in SELECTS.items()}

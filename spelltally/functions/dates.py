@@ -34,6 +34,11 @@ def parse_date_trimmed(text: Column) -> Column:
     return F.regexp_extract(text, rf"^[{SPACE}]*({READABLE})[{SPACE}]*\z", 1).try_cast("date")
 
 
+def after_year(day: str) -> str:
+    """Text that sorts after every strict date of the day's year, and before the next year's."""
+    return f"{int(day[:4]) + 1:04d}"
+
+
 def active_at(
     start_text: Column, end_text: Column, snapshot: str, parse=parse_date
 ) -> Column:
@@ -41,10 +46,15 @@ def active_at(
 
     No end date means still running; an end date which cannot be read does not. The
     cheap tests come first, and a spell without an end is told before any pattern runs.
+    A strict date begins with its year, so the order of texts bounds it, and Parquet
+    readers can skip by that; padding would break the order.
     """
     day = F.lit(snapshot).cast("date")
     running = end_text.isNull() | (parse(end_text) >= day) | ~has_text(end_text)
-    return (parse(start_text) <= day) & running
+    started = parse(start_text) <= day
+    if parse is parse_date:
+        started = (start_text < after_year(snapshot)) & started
+    return started & running
 
 
 def in_period(day: Column, period: tuple[str, str]) -> Column:
@@ -52,6 +62,13 @@ def in_period(day: Column, period: tuple[str, str]) -> Column:
     return day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
 
 
+def dated_within(text: Column, period: tuple[str, str]) -> Column:
+    """Strict date text within a period. The years bound the text itself, as in :func:`active_at`."""
+    first, last = period
+    years = (text >= first[:4]) & (text < after_year(last))
+    return years & in_period(parse_date(text), period)
+
+
 def month_start(day: Column) -> Column:
     """First day of the month, kept as a date."""
     return F.trunc(day, "month")

@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.functions.dates import in_period, month_range, month_start, parse_date
+from spelltally.functions.dates import dated_within, month_range, month_start, parse_date
 from spelltally.operators.dedup import smallest_per_key
 from spelltally.operators.firms import FirmUniverse
 
 
 def posted_within(postings: DataFrame, period: tuple[str, str]) -> DataFrame:
-    return postings.where(in_period(parse_date(F.col("post_date")), period))
+    return postings.where(dated_within(F.col("post_date"), period))
 
 
 def posting_keys(
@@ -48,6 +48,28 @@ def monthly_counts(postings: DataFrame) -> DataFrame:
     )
 
 
+def monthly_counts_both(postings: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """:func:`monthly_counts` of all and of focal postings, told apart by ``focal``; one pass."""
+    day = parse_date(F.col("post_date"))
+    per_job = (
+        postings.select("job_id", day.alias("day"), F.col("job_category").isin(*categories).alias("_focal"))
+        .groupBy("job_id")
+        .agg(F.min("day").alias("all"), F.min(F.when(F.col("_focal"), F.col("day"))).alias("own"))
+    )
+    both = F.array(
+        *(
+            F.struct(F.lit(focal).alias("focal"), month_start(F.col(name)).alias("month"))
+            for focal, name in ((False, "all"), (True, "own"))
+        )
+    )
+    return (
+        per_job.select(F.inline(both))
+        .where("month IS NOT NULL")
+        .groupBy("focal", "month")
+        .agg(F.count(F.lit(1)).alias("posting_count"))
+    )
+
+
 def fill_calendar(monthly: DataFrame, calendar: tuple[str, str]) -> DataFrame:
     """Every month of the calendar; months without postings stay null.
 

@@ -126,34 +126,26 @@ def check_group_sums(
 ) -> DataFrame:
     """:func:`check_group_sum` for several groupings of one frame.
 
-    ``groupings`` tells by name which members a grouping counts. The frame is used
-    twice whatever the number of groupings: once grouped, once as totals.
+    ``groupings`` tells by name which members a grouping counts. Groups and totals come
+    from one aggregate, so the frame is used once.
     """
-    names = F.array(*(F.when(held, F.lit(name)) for name, held in groupings.items()))
-    grouped = (
-        members.select(key, by, F.explode(F.array_compact(names)).alias("subject"))
-        .groupBy("subject", by)
-        .agg(F.count(key).alias("_n"))
-        .select("subject", "_n")
-    )
-    totals = members.agg(
-        *(F.count_if(held).alias(f"_{i}") for i, held in enumerate(groupings.values()))
-    ).select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(name).alias("subject"), (-F.col(f"_{i}")).alias("_n"))
-                    for i, name in enumerate(groupings)
-                )
-            )
+    flags = {f"_held_{i}": held for i, held in enumerate(groupings.values())}
+    counted = (
+        members.select(key, by, *(held.alias(flag) for flag, held in flags.items()))
+        .rollup(by)
+        .agg(
+            F.grouping(by).alias("_total"),
+            *(F.count(F.when(F.col(flag), F.col(key))).alias(f"_n{flag}") for flag in flags),
+            *(F.count_if(F.col(flag)).alias(f"_rows{flag}") for flag in flags),
         )
     )
-    gap = F.abs(F.sum("_n"))
-    return (
-        grouped.unionByName(totals)
-        .groupBy("subject")
-        .agg(gap.alias("violations"), (gap == 0).alias("passed"))
-        .select(F.lit("group_sum").alias("check"), "subject", "violations", "passed")
+    signed = (
+        F.sum(F.when(F.col("_total") == 1, -F.col(f"_rows{flag}")).otherwise(F.col(f"_n{flag}"))).alias(flag)
+        for flag in flags
+    )
+    return _rows(
+        counted.agg(*signed),
+        [("group_sum", name, F.abs(F.coalesce(F.col(flag), F.lit(0)))) for name, flag in zip(groupings, flags)],
     )
 
 
@@ -173,18 +165,27 @@ def date_diagnostics(
     parse: Callable[[Column], Column] = parse_date,
 ) -> DataFrame:
     """Per date variable: rows, missing, present and unreadable values; one pass for all."""
+    return date_diagnostics_by(frame, dataset, *variables, readings={"": parse}).drop("reading")
+
+
+def date_diagnostics_by(
+    frame: DataFrame, dataset: str, *variables: str, readings: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """:func:`date_diagnostics` for several ways to read a date, named in ``reading``; one pass."""
     figures = [F.count(F.lit(1)).alias("rows")]
     for name in variables:
         text = F.col(name)
         present = has_text(text)
+        figures.append(F.count_if(present).alias(f"{name}_present"))
         figures += [
-            F.count_if(present).alias(f"{name}_present"),
-            F.count_if(present & parse(text).isNull()).alias(f"{name}_failed"),
+            F.count_if(present & parse(text).isNull()).alias(f"{name}_failed_{reading}")
+            for reading, parse in readings.items()
         ]
 
-    def row(name: str) -> Column:
-        present, failed = F.col(f"{name}_present"), F.col(f"{name}_failed")
+    def row(reading: str, name: str) -> Column:
+        present, failed = F.col(f"{name}_present"), F.col(f"{name}_failed_{reading}")
         return F.struct(
+            F.lit(reading).alias("reading"),
             F.lit(dataset).alias("dataset"),
             F.lit(name).alias("variable"),
             F.col("rows").alias("row_count"),
@@ -194,7 +195,8 @@ def date_diagnostics(
             ratio_or_zero(failed, present).alias("failed_conversion_share"),
         )
 
-    return frame.agg(*figures).select(F.inline(F.array(*(row(name) for name in variables))))
+    rows = (row(reading, name) for reading in readings for name in variables)
+    return frame.agg(*figures).select(F.inline(F.array(*rows)))
 
 
 def date_report(diagnostics: DataFrame) -> DataFrame:

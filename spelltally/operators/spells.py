@@ -45,6 +45,16 @@ def users_per_firm(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy("rcid").agg(F.count("user_id").alias(name))
 
 
+def users_and_focal_users_per_firm(spells: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Users per firm, of all spells and of focal ones; pairs are made distinct once for both."""
+    focal = F.col("job_category").isin(*categories)
+    pairs = spells.groupBy("rcid", "user_id").agg(F.max(focal).alias("_focal"))
+    return pairs.groupBy("rcid").agg(
+        F.count("user_id").alias("employee_count"),
+        F.count(F.when(F.col("_focal"), F.col("user_id"))).alias("focal_employee_count"),
+    )
+
+
 def _first_choice(role: str):
     """Order in which the spells of a pair are preferred: latest start, category, role."""
     return F.struct(
@@ -104,6 +114,7 @@ def pair_summary(spells: DataFrame, role: str) -> DataFrame:
         .select(
             *PAIR,
             "spell_rows",
+            F.col("_pick.job_category").alias("primary_category"),
             F.col(f"_pick.{role}").alias("primary_role"),
             (known & (F.col("_role_low") != F.col("_role_high"))).alias("several_roles"),
             (known & (F.col("_category_low") != F.col("_category_high"))).alias(

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from spelltally.config import Study
 from spelltally.functions.dates import parse_date, parse_date_trimmed
 from spelltally.operators import quality
+from spelltally.operators.firms import FirmUniverse
 from spelltally.plans import firms as firm_plans
 from spelltally.plans.extraction import companies, universe
 from spelltally.schemas import SOURCE_TABLES
 
+STRICT, TRIMMED = "strict", "trimmed"
+
 
 def position_dates(tables, study: Study, trimmed: bool = False) -> DataFrame:
     """How the spell dates of the study's firms convert."""
@@ -29,9 +32,20 @@ def position_dates(tables, study: Study, trimmed: bool = False) -> DataFrame:
     )
 
 
-def posting_dates(tables, study: Study) -> DataFrame:
+def position_dates_both(tables, study: Study, firms: FirmUniverse) -> DataFrame:
+    """:func:`position_dates` read strictly and trimmed, told apart by ``reading``; one pass."""
+    return quality.date_diagnostics_by(
+        firms.keep(tables.frame("user_positions", "rcid", "startdate", "enddate")),
+        "user_positions",
+        "startdate",
+        "enddate",
+        readings={STRICT: parse_date, TRIMMED: parse_date_trimmed},
+    )
+
+
+def posting_dates(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
     """How the posting dates of the study's firms convert, per board."""
-    firms = universe(tables, study)
+    firms = firms or universe(tables, study)
     return reduce(
         DataFrame.unionByName,
         [

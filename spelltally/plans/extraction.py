@@ -58,15 +58,17 @@ def company_total(tables, study: Study) -> DataFrame:
 
 
 def run_extraction(
-    tables, study: Study, folder: str, fmt: str = "parquet"
+    tables, study: Study, folder: str, fmt: str = "parquet", prefix: str | None = None
 ) -> dict[str, DataFrame]:
     """Write the four extracts, each as a table and as Parquet; returns what was written.
 
+    Table names begin with ``prefix``, which may name a database, or with the study's name.
     The company extract serves all three semi-joins from the stored copy.
     """
+    prefix = f"{study.name}_" if prefix is None else prefix
 
     def export(name: str, frame: DataFrame) -> DataFrame:
-        return export_dataframe(frame, f"{study.name}_{name}", f"{folder}/{name}", fmt=fmt)
+        return export_dataframe(frame, f"{prefix}{name}", f"{folder}/{name}", fmt=fmt)
 
     written = {"company_ref": export("company_ref", companies(tables, study))}
     stored = written["company_ref"]

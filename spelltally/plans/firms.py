@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.config import Study
+from spelltally.functions.numbers import zero_if_null
 from spelltally.operators import firms as firm_ops
 from spelltally.operators import postings as posting_ops
 from spelltally.operators import spells as spell_ops
@@ -51,6 +52,17 @@ def firm_focal_counts(tables, study: Study, firms: FirmUniverse | None = None) -
     )
 
 
+def firm_and_focal_counts(tables, study: Study, firms: FirmUniverse) -> DataFrame:
+    """Both counts of employees per firm from one pass over the spells."""
+    positions = tables.frame("user_positions", *SPELL_DATES, "job_category")
+    active = spell_ops.active_spells(positions, study.snapshot)
+    counts = spell_ops.users_and_focal_users_per_firm(firms.keep_if_cheap(active), study.categories)
+    names = ("employee_count", "focal_employee_count")
+    return firms.firms.join(counts, "rcid", "left").select(
+        "rcid", "hq_country", *(zero_if_null(F.col(name)).alias(name) for name in names)
+    )
+
+
 def posting_keys(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
     sources = {
         board: tables.frame(name, "rcid", "job_id", "post_date") for board, name in BOARDS.items()

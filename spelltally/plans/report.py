@@ -1,14 +1,18 @@
 """All results of one study, written out.
 
-The universe is kept on the executors for the length of the run. Firm-level and pair-level results feed several outputs, so they are written as Parquet
-first and read back: each heavy plan runs once, and a lost executor costs nothing that
-is already stored.
+The universe is kept on the executors for the length of the run, and its ids are counted
+once. Firm-level and pair-level results feed several outputs, so they are written as
+Parquet first and read back; a lost executor costs nothing that is already stored.
+
+Spells are scanned three times, for firm counts, for roles (whose dates are trimmed first)
+and for date diagnostics; each posting board three times, for keys, dates and months.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spelltally.config import Study
 from spelltally.operators import firms as firm_ops
@@ -20,25 +24,26 @@ from spelltally.plans import checks, extraction, firms, monthly, roles
 from spelltally.sources.sinks import kept, write_csv, write_parquet
 
 
-def run_report(tables, study: Study, folder: str) -> list[str]:
-    """Write every result as CSV under ``folder``; returns the names of the results.
+def run_report(tables, study: Study, folder: str) -> dict[str, StructType]:
+    """Write every result as CSV under ``folder``; returns their names and schemas.
 
     Raises ``ValueError`` when a key, a join or a sum does not hold.
     """
     universe = extraction.universe(tables, study)
     with kept(universe.firms):
-        return _write_results(tables, study, universe, folder)
+        same = FirmUniverse(universe.firms, universe.firms.select("rcid"), universe.extracted)
+        return _write_results(tables, study, same, folder)
 
 
-def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) -> list[str]:
-    names: list[str] = []
+def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) -> dict[str, StructType]:
+    names: dict[str, StructType] = {}
 
     def stored(name: str, frame: DataFrame) -> DataFrame:
         return write_parquet(frame, f"{folder}/_parquet/{name}")
 
     def save(name: str, frame: DataFrame) -> None:
         write_csv(frame, f"{folder}/{name}")
-        names.append(name)
+        names[name] = frame.schema
 
     def save_by_country(name: str, members: DataFrame) -> None:
         grouped = firm_ops.firms_by_country(members)
@@ -48,9 +53,10 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
     quality.enforce(quality.check_key(universe.firms, "rcid", "companies.rcid"))
     save_by_country("companies_by_country", universe.firms)
 
-    employees = stored("firm_employee_counts", firms.firm_employee_counts(tables, study, universe))
+    both = stored("firm_counts", firms.firm_and_focal_counts(tables, study, universe))
+    employees = both.drop("focal_employee_count")
+    focal = both.drop("employee_count")
     postings = stored("firm_posting_counts", firms.firm_posting_counts(tables, study, universe))
-    focal = stored("firm_focal_counts", firms.firm_focal_counts(tables, study, universe))
     sides = ("firm_employee_counts", "firm_posting_counts")
     quality.enforce(
         quality.check_one_to_one(employees, postings, "rcid", sides).unionByName(
@@ -76,21 +82,25 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
             size_ops.truncated_histogram(sizes, name, study.truncation_quantile),
         )
 
+    pairs = stored("pair_summary", roles.pair_summary(tables, study, universe))
+    primary = pairs.select(
+        F.col("primary_category").alias("job_category"), F.col("primary_role").alias(study.role)
+    )
     composition = stored(
-        "role_composition",
-        role_ops.role_composition(
-            roles.primary_roles(tables, study), study.role, study.all_sample
-        ),
+        "role_composition", role_ops.role_composition(primary, study.role, study.all_sample)
     )
     save("role_composition", composition.orderBy("sample", "rank"))
     save("role_concentration", role_ops.role_concentration(composition))
-    save("role_selection_diagnostics", roles.role_selection_diagnostics(tables, study))
+    save("role_selection_diagnostics", role_ops.role_selection_diagnostics(pairs))
 
-    save("date_diagnostics_positions", checks.position_dates(tables, study))
-    save("date_diagnostics_trimmed", checks.position_dates(tables, study, trimmed=True))
-    save("date_diagnostics_postings", checks.posting_dates(tables, study))
+    dates = stored("date_diagnostics", checks.position_dates_both(tables, study, universe))
+    for name, reading in (("positions", checks.STRICT), ("trimmed", checks.TRIMMED)):
+        save(f"date_diagnostics_{name}", dates.where(F.col("reading") == reading).drop("reading"))
+    save("date_diagnostics_postings", checks.posting_dates(tables, study, universe))
 
     for board in firms.BOARDS.values():
-        save(f"monthly_{board}", monthly.monthly_postings(tables, study, board))
-        save(f"monthly_focal_{board}", monthly.monthly_postings(tables, study, board, focal=True))
+        months = stored(f"monthly_{board}", monthly.monthly_postings_both(tables, study, board, universe))
+        for name, focal_only in (("monthly", False), ("monthly_focal", True)):
+            series = months.where(F.col("focal") == focal_only).drop("focal").orderBy("month")
+            save(f"{name}_{board}", series)
     return names

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame
 from spelltally.config import Study
 from spelltally.operators import roles as role_ops
 from spelltally.operators import spells as spell_ops
+from spelltally.operators.firms import FirmUniverse
 from spelltally.plans.extraction import universe
 
 
 def _per_pair(
-    tables, study: Study, group: Callable[[DataFrame, str], DataFrame]
+    tables,
+    study: Study,
+    group: Callable[[DataFrame, str], DataFrame],
+    firms: FirmUniverse | None = None,
 ) -> DataFrame:
     """Group the focal active spells of the study's firms by user and firm."""
     positions = tables.frame(
@@ -24,7 +28,7 @@ def _per_pair(
         spells = spell_ops.role_spells(rows, study.snapshot, study.categories, study.role)
         return group(spells, study.role)
 
-    return universe(tables, study).keep_grouped(positions, grouped)
+    return (firms or universe(tables, study)).keep_grouped(positions, grouped)
 
 
 def primary_roles(tables, study: Study) -> DataFrame:
@@ -37,8 +41,13 @@ def overlap_counts(tables, study: Study) -> DataFrame:
     )
 
 
+def pair_summary(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
+    """What composition and diagnostics need to know of each pair."""
+    return _per_pair(tables, study, spell_ops.pair_summary, firms)
+
+
 def role_selection_diagnostics(tables, study: Study) -> DataFrame:
-    return role_ops.role_selection_diagnostics(_per_pair(tables, study, spell_ops.pair_summary))
+    return role_ops.role_selection_diagnostics(pair_summary(tables, study))
 
 
 def role_composition(tables, study: Study) -> DataFrame:

@@ -139,6 +139,43 @@ VIEWS = {
             "job_category": (LINE_CATEGORY, ()),
         },
     ),
+    "user_education": View(
+        base="lineitem",
+        lookups={
+            "supplier": ("l_suppkey", "s_suppkey"),
+            "nation": ("s_nationkey", "n_nationkey"),
+        },
+        columns={
+            "user_id": ("CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_suppkey END", ()),
+            "education_number": ("CAST(l_linenumber AS INT)", ()),
+            "startdate": (_flawed(SHIP_DAY, "l_partkey"), ()),
+            "degree": ("CASE WHEN l_partkey % 59 = 0 THEN NULL ELSE l_returnflag END", ()),
+            "university_country": ("n_name", SUPPLIER_NATION),
+        },
+    ),
+    "user_age": View(
+        base="supplier",
+        columns={
+            "user_id": ("s_suppkey", ()),
+            "earliest_grad_year": (
+                "CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE CAST(1970 + s_suppkey % 50 AS INT) END",
+                (),
+            ),
+            "estimated_birth_year": ("CAST(1948 + s_suppkey % 50 AS INT)", ()),
+            "age": ("CAST(74 - s_suppkey % 50 AS INT)", ()),
+        },
+    ),
+    "user_demography": View(
+        base="supplier",
+        lookups={"nation": ("s_nationkey", "n_nationkey")},
+        columns={
+            "user_id": ("s_suppkey", ()),
+            "fullname": ("s_name", ()),
+            "f_prob": ("CAST(s_suppkey % 5 AS DOUBLE) / 4", ()),
+            "prestige": ("CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_acctbal END", ()),
+            "user_country": ("n_name", ("nation",)),
+        },
+    ),
 }
 
 
