@@ -1,7 +1,7 @@
 """Duplicates: one row per key, and distinct pairs.
 
-Each operator is an aggregate, so map tasks collapse a hot key before the shuffle and
-no task has to sort all rows of one key.
+Each operator is an aggregate, so map tasks collapse a hot key before the shuffle. Those
+that pick a row by text columns sort within each task, before the shuffle and after it.
 """
 
 from __future__ import annotations

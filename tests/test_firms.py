@@ -1,5 +1,6 @@
 import pytest
 from frames import MemoryTables, rows_of
+from pyspark.sql import functions as F
 
 from spelltally.config import BIOPHARM
 from spelltally.operators import firms as firm_ops
@@ -94,6 +95,18 @@ def test_focal_counts(spark):
     assert counts == [(1, "Peru", 1), (2, "Missing", 0), (3, "Missing", 0), (4, "Peru", 1)]
 
 
+def test_one_pass_gives_what_two_give(spark):
+    given = tables(spark)
+    universe = extraction.universe(given, BIOPHARM)
+    both = firms.firm_and_focal_counts(given, BIOPHARM, universe)
+    assert rows_of(both.drop("focal_employee_count")) == rows_of(firms.firm_employee_counts(given, BIOPHARM))
+    assert rows_of(both.drop("employee_count")) == rows_of(firms.firm_focal_counts(given, BIOPHARM))
+    dates = checks.position_dates_both(given, BIOPHARM, universe)
+    for reading, trimmed in ((checks.STRICT, False), (checks.TRIMMED, True)):
+        alone = checks.position_dates(given, BIOPHARM, trimmed)
+        assert rows_of(dates.where(F.col("reading") == reading).drop("reading")) == rows_of(alone)
+
+
 def test_posting_keys(spark):
     # Job 100 is on both boards; on LinkedIn under firms 1 and 4, so it goes to firm 1.
     keys = rows_of(firms.posting_keys(tables(spark), BIOPHARM))

@@ -68,6 +68,9 @@ def test_check_group_sums(spark):
         ("group_sum", "held", 1, False),
         ("group_sum", "none", 0, True),
     ]
+    members = spark.range(5).selectExpr("id AS k", "id % 2 AS g")
+    plan = quality.check_group_sums(members, "k", "g", {"all": F.lit(True)})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
 
 
 def test_enforce(spark):
