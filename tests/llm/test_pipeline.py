@@ -1,6 +1,9 @@
 from llm_cases import FOLDER
+from test_near_copies import plain_components, plain_fingerprint
 
 import corpus_pipeline
+from spelltally.llm import mixing, quality
+from spelltally.llm.common import stored
 
 
 def test_stages_keep_columns_and_run(spark):
@@ -15,3 +18,29 @@ def test_stages_keep_columns_and_run(spark):
     assert list(rows.columns) == [*columns, "shard", "slot"] and len(rows) == numbers[-1]
     sizes = rows.groupby("shard").size()
     assert sizes.max() - sizes.min() <= 1
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(stored(stage(spark, steps[-1], FOLDER), "test"))
+    given, good, single, clean, mixed, dealt = (step.toPandas().sort_values("doc_id", ignore_index=True) for step in steps)
+
+    scores = quality.score_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).toPandas()
+    assert set(good["doc_id"]) == set(scores["doc_id"][scores["predicted"] == 1])
+
+    groups = plain_components([plain_fingerprint(text, corpus_pipeline.NEAR_WORDS) for text in good["text"]], corpus_pipeline.NEAR_BITS)
+    assert list(single["doc_id"]) == [good["doc_id"][i] for i in sorted(set(groups))]
+
+    items = list(spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()["text"])
+    holding = {d for d, text in zip(single["doc_id"], single["text"]) if any(item in text for item in items)}
+    assert holding and not holding & set(clean["doc_id"])
+
+    wanted = mixing.mix(steps[3]).toPandas()
+    copies = {r.doc_id: r.taken // r.size for r in wanted.itertuples() if r.size and r.taken}
+    assert mixed[mixed["text"].str.split().str.len() > 0]["doc_id"].value_counts().to_dict() == copies
+
+    assert list(dealt["doc_id"]) == list(mixed["doc_id"])
+    for _, part in dealt.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
