@@ -7,6 +7,9 @@ bits, factors what groups of neighbours share into nodes (a mask and its pattern
 compares nodes first: a pair of groups whose patterns already differ too often is pruned
 with all that is below. Codes that are linked already are not compared again, so a mass
 of near copies gives as many links as it has members, not their square.
+
+Among very many texts some unrelated ones agree in most of 64 bits. Where wide distances
+make that likely, a second fingerprint from the same hashes, mixed, confirms each link.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.llm.common import quoted, stored, without
+from spelltally.llm.common import quoted, stored, whole, without
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 BITS = 64
+# Bits in which the second fingerprints of a confirmed link may differ. Copies within eight bits
+# of the first seldom differ in more; unrelated texts agree so far once in 85,000 times.
+CONFIRMED = 15
 FANOUT = 8
 # Pairs of nodes that are compared at once.
 SLICE = 1 << 17
@@ -33,20 +39,35 @@ SLICE = 1 << 17
 CODES_PER_KEY = 4096
 
 
-def fingerprint(text: str | None, size: int = WORDS_PER_SHINGLE) -> int:
-    """Majority of the bits of all shingle hashes, repeats included, as a signed 64-bit number.
+def shingle_hashes(text: str | None, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included.
 
-    A-Z are lower-cased. Fewer words than ``size`` make one shingle; no word gives zero.
+    A-Z are lower-cased. Fewer words than ``size`` make one shingle, no word makes none.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+    number, digest = max(1, len(words) - size + 1) if words else 0, xxhash.xxh64_intdigest
+    return np.fromiter((digest(b" ".join(words[i : i + size]), SEED) for i in range(number)), dtype=np.uint64, count=number)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number; zero without hashes."""
+    if not len(hashes):
         return 0
-    number, digest = max(1, len(words) - size + 1), xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        [digest(b" ".join(words[i : i + size]), SEED) for i in range(number)], dtype=">u8", count=number
-    )
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > number).view(">i8")[0])
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes whose bits don't depend on single bits of the given ones."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, size: int = WORDS_PER_SHINGLE) -> int:
+    """Majority of the bits of all shingle hashes; no word gives zero."""
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprint_of(text: Column, size: int = WORDS_PER_SHINGLE) -> Column:
@@ -57,6 +78,17 @@ def fingerprint_of(text: Column, size: int = WORDS_PER_SHINGLE) -> Column:
     return codes(text)
 
 
+def fingerprints_of(text: Column, size: int = WORDS_PER_SHINGLE) -> Column:
+    """A struct of ``code`` and ``proof``, the fingerprint and the one that confirms it."""
+
+    @F.pandas_udf("code long, proof long")
+    def codes(texts: pd.Series) -> pd.DataFrame:
+        made = [(majority(hashes), majority(mixed(hashes))) for hashes in (shingle_hashes(text, size) for text in texts)]
+        return pd.DataFrame(made, columns=["code", "proof"], dtype="int64")
+
+    return codes(text)
+
+
 def gray_rank(code: Column) -> Column:
     """The place of a code in the Gray order (the number whose Gray code it is)."""
     for shift in (32, 16, 8, 4, 2, 1):
@@ -108,8 +140,11 @@ class GrayIndex:
         return left[there], right[there]
 
 
-def roots(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """For each code (distinct, in Gray order) the place of the first one it is linked to."""
+def roots(codes: np.ndarray, distance: int = DISTANCE, proofs: np.ndarray | None = None) -> np.ndarray:
+    """For each code (distinct, in Gray order) the place of the first one it is linked to.
+
+    With ``proofs``, those must agree in all but ``CONFIRMED`` bits as well.
+    """
     parent = np.arange(len(codes))
 
     def root(place: int) -> int:
@@ -129,7 +164,12 @@ def roots(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
             labels = labels[labels]
         return labels
 
-    next_to = np.flatnonzero(np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance)
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        there = np.bitwise_count(codes[a] ^ codes[b]) <= distance
+        return there if proofs is None else there & (np.bitwise_count(proofs[a] ^ proofs[b]) <= CONFIRMED)
+
+    places = np.arange(len(codes) - 1)
+    next_to = places[near(places, places + 1)]
     link(next_to, next_to + 1)
     index = GrayIndex(codes)
     top = len(index.levels) - 1
@@ -145,7 +185,7 @@ def roots(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
             starts = np.arange(0, len(first), FANOUT)
             first, last = np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts)
         open_ = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
-        open_ &= index.differences(level, a, b) <= distance
+        open_ &= (index.differences(level, a, b) <= distance) if level else near(a, b)
         a, b = a[open_], b[open_]
         if level:
             if len(a):
@@ -157,16 +197,17 @@ def roots(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
 
 
 def _links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by node and Gray rank to pairs (code, code it is linked with)."""
+    """Rows sorted by node and Gray rank to pairs (code, code it is linked with). They may have a ``proof``."""
     rest: list[pd.DataFrame] = []
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         node, masked, codes = (rows[name].to_numpy() for name in ("mask", "masked", "code"))
+        proofs = rows["proof"].to_numpy().view(np.uint64) if "proof" in rows else None
         starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (masked[1:] != masked[:-1])])
         ends = np.r_[starts[1:], len(rows)]
         found = []
         for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            to = roots(codes[a:b].view(np.uint64), distance)
+            to = roots(codes[a:b].view(np.uint64), distance, None if proofs is None else proofs[a:b])
             moved = np.flatnonzero(to != np.arange(len(to)))
             found.append((codes[a:b][moved], codes[a:b][to[moved]]))
         left = np.concatenate([x for x, _ in found]) if found else codes[:0]
@@ -192,9 +233,11 @@ def _links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFr
 def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b) that connect all codes of the column ``code`` within the distance.
 
-    Codes must be distinct. Every two codes that differ in at most ``distance`` bits are
-    connected by a path of pairs; unrelated codes are not.
+    Codes must be distinct. Every two codes that differ in at most ``distance`` bits (and, if
+    there is a column ``proof``, in ``CONFIRMED`` bits of that) are connected by a path of
+    such pairs; others are not.
     """
+    proof = [name for name in codes.columns if name == "proof"]
     nodes = F.explode(
         F.array(
             *(
@@ -204,8 +247,8 @@ def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         )
     )
     dealt = (
-        codes.select("code", nodes.alias("node"))
-        .select("node.mask", "node.masked", "code")
+        codes.select("code", *proof, nodes.alias("node"))
+        .select("node.mask", "node.masked", "code", *proof)
         .repartition("mask", "masked")
         .withColumn("rank", F.shiftrightunsigned(gray_rank(F.col("code")), 1))
         .sortWithinPartitions("mask", "masked", "rank", "code")
@@ -242,14 +285,15 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("code"), F.col("b").alias("root"))
 
 
-def _labelled(codes: DataFrame, distance: int) -> DataFrame:
-    """``code`` and ``component_id`` for each distinct fingerprint of ``doc_id``, ``code``."""
-    distinct = stored(codes.groupBy("code").agg(F.min("doc_id").alias("least")), "near-codes")
-    connected = components(links(distinct.select("code"), distance))
-    rooted = distinct.join(connected, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    # Stored, so that the join can split the rows of a component with many fingerprints.
-    groups = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-groups")
-    return rooted.select("code", "root").join(groups, "root")
+def _rooted(codes: DataFrame, least: Column, distance: int) -> DataFrame:
+    """``code``, ``least`` (of its texts) and ``root`` for each distinct ``code``.
+
+    Texts with equal codes are one; the least of their proofs, if there are any, stands for all.
+    """
+    proof = [F.min(name).alias(name) for name in codes.columns if name == "proof"]
+    distinct = stored(codes.groupBy("code").agg(F.min(least).alias("least"), *proof), "near-codes")
+    connected = components(links(distinct.drop("least"), distance))
+    return distinct.join(connected, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS_PER_SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -260,19 +304,32 @@ def near_duplicates(docs: DataFrame, size: int = WORDS_PER_SHINGLE, distance: in
     repeated rows. Other columns are not looked at; an empty input gives an empty result.
     """
     codes = stored(docs.select("doc_id", fingerprint_of(F.col("text"), size).alias("code")), "near-fingerprints")
-    labels = _labelled(codes, distance).select("code", "component_id")
+    rooted = _rooted(codes, F.col("doc_id"), distance)
+    # Stored, so that the join can split the rows of a component with many fingerprints.
+    groups = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-groups")
+    labels = rooted.join(groups, "root").select("code", "component_id")
     return codes.join(labels, "code").select("doc_id", "code", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS_PER_SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
-    own = without(docs, "_code")
-    coded = own.withColumn("_code", fingerprint_of(F.col("text"), size))
-    codes = stored(coded.select("doc_id", F.col("_code").alias("code")), "near-fingerprints")
-    labels = _labelled(codes, distance).select(F.col("code").alias("_code"), "root", "component_id")
-    kept = coded.join(labels.withColumnRenamed("root", "_root").withColumnRenamed("component_id", "_first"), "_code")
-    return (
-        kept.where(F.col("doc_id").eqNullSafe(F.col("_first")))
-        .dropDuplicates(["_root"])
-        .select(*(quoted(name) for name in own.columns))
+    """One document of each component, the one with the smallest id, with its own columns.
+
+    Links are confirmed by second fingerprints, so that chance doesn't cost a document. Null
+    ids come last; of rows equal in id and text one stays. Null and empty texts are one
+    component; an empty input gives an empty result.
+    """
+    own = without(docs, "_key1", "_key2")
+    # Two hashes of id and text find a document again: unlike ids they are never null or shared.
+    keyed = own.withColumns(
+        {"_key1": F.xxhash64("doc_id", whole()), "_key2": F.xxhash64(F.lit(SEED), whole(), "doc_id")}
+    )
+    both = fingerprints_of(F.col("text"), size)
+    codes = stored(
+        keyed.select("doc_id", "_key1", "_key2", both.alias("_both")).select("doc_id", "_key1", "_key2", "_both.*"),
+        "near-fingerprints",
     )
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "_key1", "_key2")
+    chosen = _rooted(codes, least, distance).groupBy("root").agg(F.min("least").alias("least"))
+    chosen = stored(chosen.select("least._key1", "least._key2"), "near-chosen")
+    kept = keyed.join(chosen, ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"])
+    return kept.select(*(quoted(name) for name in own.columns))

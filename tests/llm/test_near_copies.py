@@ -6,20 +6,39 @@ from llm_cases import ODD
 from spelltally.llm import minhash, simhash
 
 
-def plain_fingerprint(text, size=4):
+def plain_hashes(text, size=4):
     words = text.encode().lower().split()
     if not words:
-        return 0
-    shingles = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return []
+    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))]
+
+
+def plain_majority(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(codes, distance=4):
+def plain_fingerprint(text, size=4):
+    return plain_majority(plain_hashes(text, size))
+
+
+def plain_proof(text, size=4):
+    """The fingerprint over mixed hashes."""
+    mixed = []
+    for h in plain_hashes(text, size):
+        x = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        mixed.append(x ^ (x >> 31))
+    return plain_majority(mixed)
+
+
+def plain_components(codes, distance=4, proofs=None):
     label = list(range(len(codes)))
     for i, a in enumerate(codes):
         for j in range(i):
-            if bin(a ^ codes[j]).count("1") <= distance and label[i] != label[j]:
+            near = bin(a ^ codes[j]).count("1") <= distance
+            if near and a != codes[j] and proofs is not None:
+                near = bin(proofs[i] ^ proofs[j]).count("1") <= simhash.CONFIRMED
+            if near and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return label
@@ -33,6 +52,29 @@ def test_index_links_what_brute_force_links(number):
     assert list(simhash.roots(np.array(codes, dtype=np.uint64))) == plain_components(codes)
 
 
+@pytest.mark.parametrize("number", [2, 40, 300])
+def test_confirmed_links_are_what_brute_force_links(number):
+    rng = np.random.default_rng(number)
+    base = [(int(c), int(p)) for c, p in rng.integers(0, 1 << 62, size=(max(1, number // 10), 2))]
+
+    def changed(value, bits):
+        return value ^ sum(1 << int(b) for b in rng.choice(62, int(bits), replace=False))
+
+    made = [base[int(rng.integers(len(base)))] for _ in range(number)]
+    pairs = {changed(c, rng.integers(1, 6)): changed(p, rng.integers(4, 14)) for c, p in made}
+    codes = sorted(pairs, key=lambda x: [x := x ^ (x >> s) for s in (32, 16, 8, 4, 2, 1)][-1])
+    proofs = [pairs[c] for c in codes]
+    found = simhash.roots(np.array(codes, dtype=np.uint64), 8, np.array(proofs, dtype=np.uint64))
+    assert list(found) == plain_components(codes, 8, proofs)
+
+
+def test_like_fingerprints_of_unlike_texts_are_not_linked(spark):
+    rows = [(3, 7), (11, 7), (5, -9), (1 << 20, 1 << 40)]
+    frame = spark.createDataFrame(rows, "code long, proof long")
+    found = {r.code: r.root for r in simhash.components(simhash.links(frame, 8)).collect()}
+    assert found.get(5, 5) == 5 and found[11] == found.get(3, 3) == found[1 << 20]
+
+
 @pytest.mark.parametrize(("distance", "codes"), [(4, 100), (4, 10**9), (8, 10**6)])
 def test_masks_cover_all_near_pairs(distance, codes):
     rng = np.random.default_rng(3)

@@ -1,5 +1,5 @@
 from llm_cases import FOLDER
-from test_near_copies import plain_components, plain_fingerprint
+from test_near_copies import plain_components, plain_fingerprint, plain_proof
 
 import corpus_pipeline
 from spelltally.llm import mixing, quality
@@ -30,7 +30,8 @@ def test_stages_against_brute_force(spark):
     scores = quality.score_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).toPandas()
     assert set(good["doc_id"]) == set(scores["doc_id"][scores["predicted"] == 1])
 
-    groups = plain_components([plain_fingerprint(text, corpus_pipeline.NEAR_WORDS) for text in good["text"]], corpus_pipeline.NEAR_BITS)
+    codes, proofs = ([made(text, corpus_pipeline.NEAR_WORDS) for text in good["text"]] for made in (plain_fingerprint, plain_proof))
+    groups = plain_components(codes, corpus_pipeline.NEAR_BITS, proofs)
     assert list(single["doc_id"]) == [good["doc_id"][i] for i in sorted(set(groups))]
 
     items = list(spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()["text"])
