@@ -136,3 +136,45 @@ def test_fingerprints_odd_rows(odd, empty, spark):
     one = minhash.fingerprinted(spark.createDataFrame([(7, "abcdefgh")], "doc_id long, text string")).first()
     assert one.n_chars == 8 and one.near_next == 1.0
     assert minhash.fingerprinted(empty).count() == 0
+
+
+def shingle_set(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_one_of_each_against_brute_force_jaccard(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(120):
+        words = [f"w{i}" for i in rng.integers(0, 5000, size=int(rng.integers(60, 400)))]
+        texts.append(" ".join(words))
+        for edits in (len(words) // 50, len(words) // 36, len(words) // 28):
+            other = list(words)
+            for place in rng.choice(len(words), edits, replace=False):
+                other[place] = "changed"
+            texts.append(" ".join(other))
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8)
+    found, wanted = {r.doc_id for r in kept.collect()}, set(label)
+    assert 120 < len(wanted) < 480 and wanted <= found and len(found - wanted) <= 2
+
+
+@pytest.mark.parametrize("shingles", [18, 90, 450])
+def test_bands_find_pairs_at_the_likeness(shingles):
+    """Pairs of equal sets at exactly 0.8, by the bands for few and for many texts."""
+    rng = np.random.default_rng(shingles)
+    for codes in (1000, 10**6):
+        masks, found = simhash.bands(codes, 0.8), 0
+        for _ in range(400):
+            hashes = rng.integers(0, 1 << 64, size=shingles * 10 // 9, dtype=np.uint64)
+            a, b = (np.array(simhash.wide_fingerprint(x)).view(np.uint64) for x in (hashes[:shingles], hashes[-shingles:]))
+            apart = a ^ b
+            found += bool(((apart & masks) == 0).all(axis=1).any()) and np.bitwise_count(apart).sum() <= simhash.WIDE
+        assert found >= 0.98 * 400

@@ -45,3 +45,19 @@ def test_stages_against_brute_force(spark):
     assert list(dealt["doc_id"]) == list(mixed["doc_id"])
     for _, part in dealt.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_near_dedup_against_brute_force_jaccard(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = docs.toPandas().sort_values("doc_id", ignore_index=True)
+    words = [t.encode().lower().split() for t in rows["text"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            near = len(a & sets[j]) >= 0.8 * len(a | sets[j])
+            if near and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).toPandas()
+    assert sorted(kept["doc_id"]) == [rows["doc_id"][i] for i in sorted(set(label))]
