@@ -43,6 +43,8 @@ CODES_PER_KEY = 4096
 WORDS, WIDE, LIKENESS, RECALL = 4, 58, 0.8, 0.998
 # Texts that share the bits of a band by chance, about; bands whose neighbours are linked first.
 CODES_PER_BAND, FIRST_BANDS = 8, 6
+# Rows of a node up to which nodes are compared together.
+FEW = 64
 
 
 def shingle_hashes(text: str | None, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
@@ -401,6 +403,18 @@ def candidates(units: DataFrame, masks_: np.ndarray, next_to: bool) -> DataFrame
             ends = np.r_[starts[1:], len(rows)]
             wide = (ends - starts > 1) & (label[starts] != label[ends - 1])
             left, right = [code[:0]], [code[:0]]
+            few = ends - starts <= FEW
+            if not next_to:
+                # Nodes of few rows at once: each row with the one after it, the one after that, and so on.
+                until = np.repeat(np.where(wide & few, ends, 0), ends - starts)
+                a = np.flatnonzero(until)
+                for step in range(1, FEW):
+                    a = a[a + step < until[a]]
+                    apart = a[label[a] != label[a + step]]
+                    apart = apart[_wide_near(words, apart, apart + step)]
+                    left.append(code[apart])
+                    right.append(code[apart + step])
+                wide &= ~few
             for a, b in zip(starts[wide], ends[wide]):
                 x, y = _across(words[a:b], label[a:b], next_to)
                 left.append(code[a:b][x])
