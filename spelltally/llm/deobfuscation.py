@@ -2,7 +2,8 @@
 
 Disguised words (digits and signs for letters, letters set apart, letters repeated) span a
 lattice of readings; a Viterbi search under a character trigram model, counted over all
-texts, picks the likeliest. A word of plain letters has one reading and needs no search.
+texts, picks the likeliest. A word of plain letters without doubled ones has one reading and
+needs no search, nor does a frequent word.
 Restored texts are scored by words and word beginnings that mark toxic texts.
 """
 
@@ -35,7 +36,9 @@ CLASSES = 64
 LM_SMOOTHING = 0.1
 EDGE = ".,;:!?'\"()[]{}<>«»¡¿…-–—_*#%&~/\\="
 PLAIN = re.compile(r"[^\W\d_]+")
-TRIPLED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+# Plain words with a doubled letter that stand in so many texts keep their spelling; so many are sent out.
+OFTEN, MOST_FREQUENT = 20, 50_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
 # Cheap to look for, and part of all that SPACED matches.
 MAYBE_SPACED = re.compile(r" [^\W_] [^\W_](?!\S)")
@@ -91,11 +94,26 @@ def character_costs(docs: DataFrame) -> np.ndarray:
     return -np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
+def frequent_doubled(docs: DataFrame) -> frozenset[str]:
+    """The plain words with a doubled letter that many texts hold; at most ``MOST_FREQUENT``."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    counted = (
+        docs.select(F.explode(F.filter(words, lambda word: word.rlike(r"(.)\1"))).alias("word"))
+        .groupBy("word")
+        .count()
+        .where(F.col("count") >= OFTEN)
+        .orderBy(F.desc("count"), "word")
+        .limit(MOST_FREQUENT)
+    )
+    return frozenset(row.word for row in counted.collect() if not re.search(r"(.)\1\1", row.word))
+
+
 class Decoder:
     """Restores texts under a table of character costs."""
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, frequent: frozenset[str] = frozenset()):
         self.costs = costs.tolist()
+        self.frequent = frequent
         self.known: dict[str, str] = {}
         self.harmless: set[str] = set()
 
@@ -131,7 +149,7 @@ class Decoder:
         core = EDGE_RUN.sub("", token).strip(EDGE)
         if not core or not any(map(str.isalpha, core)):
             return core
-        if PLAIN.fullmatch(core) and not TRIPLED.search(core):
+        if PLAIN.fullmatch(core) and (core in self.frequent or not DOUBLED.search(core)):
             return core
         return self.search(core)
 
@@ -182,7 +200,7 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
+def vocabulary(training: DataFrame, costs: np.ndarray, frequent: frozenset[str] = frozenset()) -> dict[str, float]:
     """Weights (log odds) of features of toxic texts.
 
     ``training`` has ``text`` and ``label``, each text once. Counts cover all of it; the
@@ -190,7 +208,7 @@ def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, counts = Decoder(costs), (Counter(), Counter())
+        decoder, counts = Decoder(costs, frequent), (Counter(), Counter())
 
         def told() -> pd.DataFrame:
             names = list(counts[1].keys() | counts[0].keys())
@@ -232,11 +250,11 @@ def vocabulary(training: DataFrame, costs: np.ndarray) -> dict[str, float]:
     return {r.feature: r.weight for r in chosen.collect()}
 
 
-def calibration(training: DataFrame, costs: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+def calibration(training: DataFrame, costs: np.ndarray, weights: dict[str, float], frequent: frozenset[str] = frozenset()) -> np.ndarray:
     """The share of toxic texts at each step of evidence, made non-decreasing; 0.5 without labels."""
 
     def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(costs)
+        decoder = Decoder(costs, frequent)
         for batch in batches:
             steps = [min(STEPS - 1, round(decoder.evidence(text, weights))) for text in batch["text"]]
             yield pd.DataFrame({"step": steps, "label": batch["label"]})
@@ -281,14 +299,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, restored: bool = False) -
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
     training = stored(training, "toxic-training")
-    weights = vocabulary(training, costs)
-    shares = calibration(training, costs, weights)
-    sent = docs.sparkSession.sparkContext.broadcast((costs, weights))
+    frequent = frequent_doubled(docs)
+    weights = vocabulary(training, costs, frequent)
+    shares = calibration(training, costs, weights, frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((costs, weights, frequent))
 
     @F.pandas_udf("score double, restored_text string")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, known = sent.value
-        decoder = Decoder(table)
+        table, known, frequent_words = sent.value
+        decoder = Decoder(table, frequent_words)
         for batch in texts:
             yield pd.DataFrame(
                 {

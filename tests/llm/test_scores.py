@@ -94,3 +94,17 @@ def test_scores_of_odd_rows(odd, empty, spark):
     rows = language_model.score_texts(odd).toPandas()
     assert len(rows) == len(ODD) and (rows["n_tokens"] >= 1).all() and np.isfinite(rows["score"]).all()
     assert language_model.score_texts(empty).count() == 0
+
+
+def decoder_of(plain, frequent=frozenset()):
+    counts = deobfuscation.trigram_counts(plain * 50).reshape(64, 64, 64) + 0.1
+    return deobfuscation.Decoder(-np.log(counts / counts.sum(axis=2, keepdims=True)), frequent)
+
+
+@pytest.mark.parametrize("text", ["stuupid", "stupidd", "sstupid", "sstuupidd", "stuuuupid", "ssttuuppiidd"])
+def test_repeated_letters_are_restored(text):
+    assert decoder_of("the stupid bell tells the tale ").words(text) == ["stupid"]
+
+
+def test_frequent_words_keep_doubled_letters():
+    assert decoder_of("the stupid tale tel ", frozenset(["tell"])).words("tell telll") == ["tell", "tel"]
