@@ -39,9 +39,12 @@ PLAIN = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1")
 # Plain words with a doubled letter that stand in so many texts keep their spelling; so many are sent out.
 OFTEN, MOST_FREQUENT = 20, 50_000
-SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
+# A letter or a sign that may stand for one, and what sets letters apart.
+SIGN = "(?:[^\\W_]|[" + re.escape("".join(key for key in READINGS if not key.isdigit())) + "])"
+APART = r"[\s\-–—_.,;:*~/\\#%&='\"·…]+"
+SPACED = re.compile(rf"(?<![^\W_])(?<!{SIGN})(?:{SIGN}{APART}){{2,}}{SIGN}(?!{SIGN})")
 # Cheap to look for, and part of all that SPACED matches.
-MAYBE_SPACED = re.compile(r" [^\W_] [^\W_](?!\S)")
+MAYBE_SPACED = re.compile(rf"{APART}{SIGN}{APART}{SIGN}(?!{SIGN})")
 EDGE_RUN = re.compile(r"([^\w\s])\1{2,}$")
 # Characters counted at once.
 PORTION = 1_000_000
@@ -118,7 +121,11 @@ class Decoder:
         self.harmless: set[str] = set()
 
     def search(self, chars: str, gaps: bool = False) -> str:
-        """The likeliest reading. With ``gaps``, each character stood apart: words may end between any two."""
+        """The likeliest reading; see ``cheapest``."""
+        return self.cheapest(chars, gaps)[1]
+
+    def cheapest(self, chars: str, gaps: bool = False) -> tuple[float, str]:
+        """Cost and text of the likeliest reading. With ``gaps``, each character stood apart: words may end between any two."""
         best = {(0, 0, ""): (0.0, "")}
         for place, char in enumerate(chars):
             reached: dict[tuple[int, int, str], tuple[float, str]] = {}
@@ -142,22 +149,34 @@ class Decoder:
                 if not plain:
                     offer((older, last, char), cost + DROP, text)
             best = reached
-        return min((cost + self.costs[o][l][0], text) for (o, l, _), (cost, text) in best.items())[1]
+        return min((cost + self.costs[o][l][0], text) for (o, l, _), (cost, text) in best.items())
 
     def token(self, token: str) -> str:
         """A token without the signs at its edges, read as a word if it isn't plain."""
         core = EDGE_RUN.sub("", token).strip(EDGE)
+        sign = token[: len(token) - len(token.lstrip(EDGE))][-1:]
+        # A sign before the word that may be its first letter, unless it opens a bracket that is closed.
+        if core and sign in READINGS and any(map(str.isalpha, core)) and not (sign == "(" and ")" in token):
+            options = [self.cheapest(core), self.cheapest(sign + core)]
+            if min(options)[1] != options[0][1]:
+                return min(options)[1]
         if not core or not any(map(str.isalpha, core)):
             return core
         if PLAIN.fullmatch(core) and (core in self.frequent or not DOUBLED.search(core)):
             return core
         return self.search(core)
 
+    def joined(self, run: re.Match[str]) -> str:
+        """Letters set apart as words; runs without a letter stay."""
+        if not any(map(str.isalpha, run[0])):
+            return run[0]
+        return self.search(re.sub(APART, "", run[0]), gaps=True)
+
     def tokens(self, text: str | None) -> list[str]:
         """The lower-cased tokens of a whole text, letters set apart put together."""
         text = (text or "").lower()
         if MAYBE_SPACED.search(text):
-            text = SPACED.sub(lambda m: self.search(m[0].replace(" ", ""), gaps=True), text)
+            text = SPACED.sub(self.joined, text)
         return text.split()
 
     def word(self, token: str) -> str:

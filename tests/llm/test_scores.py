@@ -108,3 +108,15 @@ def test_repeated_letters_are_restored(text):
 
 def test_frequent_words_keep_doubled_letters():
     assert decoder_of("the stupid tale tel ", frozenset(["tell"])).words("tell telll") == ["tell", "tel"]
+
+
+@pytest.mark.parametrize(
+    ("text", "restored"),
+    [
+        ("$ t u p i d", "stupid"), ("m @ r o n", "maron"), ("i d ! o t", "idiot"), ("m o r @ n", "moran"), ("s  t\tu\np i d", "stupid"),
+        ("s - t - u - p - i - d", "stupid"), ("!diot", "idiot"), ("(the idiot)", "the idiot"), ("the i d i o t.", "the idiot"), ("1 + 2 + 3", "1 + 2 + 3"),
+    ],
+)
+def test_letters_set_apart_with_signs_are_restored(text, restored):
+    plain = "the idiot and the stupid maron said the moran is the idiot "
+    assert " ".join(decoder_of(plain).words(text)) == restored
