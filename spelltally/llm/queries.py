@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spelltally.llm import (
+    centroids,
     decontamination,
     deobfuscation,
     language_model,
@@ -91,6 +92,10 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
 
 
+def clustered(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(table(spark, folder, "embeddings", "vec_id", "embedding")).drop("computed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharded,
     "op2_licences": licences_of_files,
@@ -102,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_fingerprints": fingerprints,
     "op10_near_copies": near_copies,
+    "op12_cluster_vectors": clustered,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_cluster_vectors": centroids.sql()}
