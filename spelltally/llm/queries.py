@@ -11,6 +11,7 @@ from spelltally.llm import (
     centroids,
     decontamination,
     deobfuscation,
+    importance,
     language_model,
     licences,
     minhash,
@@ -92,6 +93,12 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
 
 
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    made = importance.scored(docs, table(spark, folder, "benchmark", "text"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def clustered(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clustered(table(spark, folder, "embeddings", "vec_id", "embedding")).drop("computed")
 
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_fingerprints": fingerprints,
     "op10_near_copies": near_copies,
+    "op11_target_resampling": resampled,
     "op12_cluster_vectors": clustered,
 }
 ORACLE: dict[str, str] = {"op12_cluster_vectors": centroids.sql()}
