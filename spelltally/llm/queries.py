@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spelltally.llm import (
     centroids,
+    chosen_path,
     decontamination,
     deobfuscation,
     importance,
@@ -103,6 +104,10 @@ def clustered(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clustered(table(spark, folder, "embeddings", "vec_id", "embedding")).drop("computed")
 
 
+def set_joined(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.joined(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharded,
     "op2_licences": licences_of_files,
@@ -116,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_copies": near_copies,
     "op11_target_resampling": resampled,
     "op12_cluster_vectors": clustered,
+    "op13_set_near_copies": set_joined,
 }
 ORACLE: dict[str, str] = {"op12_cluster_vectors": centroids.sql()}
