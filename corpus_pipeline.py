@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spelltally.llm import decontamination, mixing, quality, sharding, simhash
+from spelltally.llm import decontamination, mixing, near_copies, quality, sharding
 from spelltally.llm.common import stored, table
 
 SHARDS = 40
-# Five-word shingles alike in 0.8 or more. Eight bits are what brute-force tests of single fingerprints use.
-NEAR_WORDS, NEAR_LIKENESS, NEAR_BITS = 5, 0.8, 8
+# Sets of five-word shingles that share four fifths of their union.
+NEAR_WORDS, NEAR_SHARED, NEAR_OF = 5, 4, 5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.one_of_each(docs, NEAR_WORDS, NEAR_LIKENESS)
+    return near_copies.one_of_each(docs, NEAR_WORDS, NEAR_SHARED, NEAR_OF)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
