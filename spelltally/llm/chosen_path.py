@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.llm import overlap
-from spelltally.llm.common import stored
+from spelltally.llm.common import node_starts, stored, whole_nodes
 from spelltally.llm.simhash import components, shingle_hashes
 
 WORDS_PER_SHINGLE = 5
@@ -122,13 +122,13 @@ def _marked(members: DataFrame, units: DataFrame, first: int, last: int, share:
     rows = rows.select("n.*", "code", "label", "small", "n_shingles", "roots", "bytes")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in overlap.whole_nodes(batches):
+        for frame in whole_nodes(batches):
             node, at, side, label, size = (frame[n].to_numpy() for n in ("node", "at", "side", "label", "n_shingles"))
             roots = np.stack(frame["roots"].to_list())
             tokens = np.frombuffer(b"".join(frame["bytes"]), dtype=np.uint8).reshape(len(frame), -1)
             places = np.arange(first, last)
             small = (frame["small"].to_numpy()[:, None] >> places & 1).astype(bool) & (places < at[:, None])
-            starts = overlap.node_starts(node)
+            starts = node_starts(node)
             until = np.repeat(starts[1:], np.diff(starts))
             mark = np.zeros(len(frame), dtype=bool)
             a, step = np.arange(len(frame)), 0

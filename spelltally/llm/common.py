@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +65,26 @@ def without(frame: DataFrame, *names: str) -> DataFrame:
     """The frame without columns whose names a result is about to take."""
     taken = {name.lower() for name in names}
     return frame.select(*(quoted(c) for c in frame.columns if c.lower() not in taken))
+
+
+def whole_nodes(batches: Iterator[pd.DataFrame], key: str = "node") -> Iterator[pd.DataFrame]:
+    """Rows sorted by node, in frames that hold whole nodes."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        rest.append(batch)
+        last = batch[key].iloc[-1]
+        if last == rest[0][key].iloc[0]:
+            continue
+        rows = pd.concat(rest, ignore_index=True)
+        cut = int((rows[key].to_numpy() != last).sum())
+        yield rows.iloc[:cut].reset_index(drop=True)
+        rest = [rows.iloc[cut:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def node_starts(node: np.ndarray) -> np.ndarray:
+    """Where each node starts, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.llm import overlap
-from spelltally.llm.common import quoted, stored, whole, without
+from spelltally.llm.common import node_starts, quoted, stored, whole, whole_nodes, without
 from spelltally.llm.simhash import FANOUT, SLICE, components, majority, mixed, shingle_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -242,7 +242,7 @@ def _marked(rows: DataFrame, masks_: np.ndarray, first: int, share: float) -> Da
     """
 
     def pairs_of(node, at, side, label, size, words) -> tuple[np.ndarray, np.ndarray]:
-        starts = overlap.node_starts(node)
+        starts = node_starts(node)
         sizes = np.diff(starts)
         until = np.repeat(np.where(sizes <= FEW, starts[1:], 0), sizes)
         left, right = [], []
@@ -277,7 +277,7 @@ def _marked(rows: DataFrame, masks_: np.ndarray, first: int, share: float) -> Da
         return np.concatenate(kept[0]), np.concatenate(kept[1])
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in overlap.whole_nodes(batches):
+        for frame in whole_nodes(batches):
             node, at, side, label, size, code = (frame[n].to_numpy() for n in ("node", "at", "side", "label", "n_shingles", "code"))
             words = frame[NAMES].to_numpy().view(np.uint64)
             a, b = pairs_of(node, at, side, label, size, words)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.llm.common import stored, whole
+from spelltally.llm.common import node_starts, stored, whole, whole_nodes
 from spelltally.llm.simhash import shingle_hashes
 
 # Rows of a node up to which its texts are compared with each other.
@@ -40,29 +40,6 @@ def least_row() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2"))
 
 
-def whole_nodes(batches: Iterator[pd.DataFrame], key: str = "node") -> Iterator[pd.DataFrame]:
-    """Rows sorted by node, in frames that hold whole nodes."""
-    rest: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        rest.append(batch)
-        last = batch[key].iloc[-1]
-        if last == rest[0][key].iloc[0]:
-            continue
-        rows = pd.concat(rest, ignore_index=True)
-        cut = int((rows[key].to_numpy() != last).sum())
-        yield rows.iloc[:cut].reset_index(drop=True)
-        rest = [rows.iloc[cut:]]
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
-
-
-def node_starts(node: np.ndarray) -> np.ndarray:
-    """Where each node starts, and the end."""
-    return np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]
-
-
 def sized(rows: DataFrame) -> DataFrame:
     """Rows (node, code, label, ...) of nodes that hold more than one label, with the node's ``size``."""
     sizes = (

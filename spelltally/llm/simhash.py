@@ -7,16 +7,12 @@ bits, factors what groups of neighbours share into nodes (a mask and its pattern
 compares nodes first: a pair of groups whose patterns already differ too often is pruned
 with all that is below. Codes that are linked already are not compared again, so a mass
 of near copies gives as many links as it has members, not their square.
-
-``one_of_each`` asks for a Jaccard likeness instead. Fingerprints of four words find pairs
-that share all bits of some band, and the texts of both decide whether they are linked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -24,27 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.llm.common import quoted, stored, whole, without
+from spelltally.llm.common import node_starts, stored, whole_nodes
 
 WORDS_PER_SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 BITS = 64
-# Bits in which the second fingerprints of a confirmed link may differ. Copies within eight bits
-# of the first seldom differ in more; unrelated texts agree so far once in 85,000 times.
-CONFIRMED = 15
 FANOUT = 8
 # Pairs of nodes that are compared at once.
 SLICE = 1 << 17
 # Keys get longer, and choices of blocks more, until a key has so many codes on average.
 CODES_PER_KEY = 4096
-# Wide fingerprints: words, and bits in which two of them may differ to be looked at. Of all
-# bits 0.15 differ on average at a likeness of 0.8, and seldom (3 in 10,000) more than ``WIDE``.
-WORDS, WIDE, LIKENESS, RECALL = 4, 58, 0.8, 0.998
-# Texts that share the bits of a band by chance, about; bands whose neighbours are linked first.
-CODES_PER_BAND, FIRST_BANDS = 8, 6
-# Rows of a node up to which nodes are compared together.
-FEW = 64
+# Codes of a node beyond which it is dealt to several tasks; one in so many tells which ones are.
+LARGEST_NODE, SAMPLED = 1 << 16, 16
 
 
 def shingle_hashes(text: str | None, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
@@ -86,17 +74,6 @@ def fingerprint_of(text: Column, size: int = WORDS_PER_SHINGLE) -> Column:
     return codes(text)
 
 
-def fingerprints_of(text: Column, size: int = WORDS_PER_SHINGLE) -> Column:
-    """A struct of ``code`` and ``proof``, the fingerprint and the one that confirms it."""
-
-    @F.pandas_udf("code long, proof long")
-    def codes(texts: pd.Series) -> pd.DataFrame:
-        made = [(majority(hashes), majority(mixed(hashes))) for hashes in (shingle_hashes(text, size) for text in texts)]
-        return pd.DataFrame(made, columns=["code", "proof"], dtype="int64")
-
-    return codes(text)
-
-
 def gray_rank(code: Column) -> Column:
     """The place of a code in the Gray order (the number whose Gray code it is)."""
     for shift in (32, 16, 8, 4, 2, 1):
@@ -148,11 +125,8 @@ class GrayIndex:
         return left[there], right[there]
 
 
-def roots(codes: np.ndarray, distance: int = DISTANCE, proofs: np.ndarray | None = None) -> np.ndarray:
-    """For each code (distinct, in Gray order) the place of the first one it is linked to.
-
-    With ``proofs``, those must agree in all but ``CONFIRMED`` bits as well.
-    """
+def roots(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """For each code (distinct, in Gray order) the place of the first one it is linked to."""
     parent = np.arange(len(codes))
 
     def root(place: int) -> int:
@@ -173,8 +147,7 @@ def roots(codes: np.ndarray, distance: int = DISTANCE, proofs: np.ndarray | None
         return labels
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        there = np.bitwise_count(codes[a] ^ codes[b]) <= distance
-        return there if proofs is None else there & (np.bitwise_count(proofs[a] ^ proofs[b]) <= CONFIRMED)
+        return np.bitwise_count(codes[a] ^ codes[b]) <= distance
 
     places = np.arange(len(codes) - 1)
     next_to = places[near(places, places + 1)]
@@ -205,64 +178,61 @@ def roots(codes: np.ndarray, distance: int = DISTANCE, proofs: np.ndarray | None
 
 
 def _links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by node and Gray rank to pairs (code, code it is linked with). They may have a ``proof``."""
-    rest: list[pd.DataFrame] = []
-
-    def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        node, masked, codes = (rows[name].to_numpy() for name in ("mask", "masked", "code"))
-        proofs = rows["proof"].to_numpy().view(np.uint64) if "proof" in rows else None
-        starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (masked[1:] != masked[:-1])])
-        ends = np.r_[starts[1:], len(rows)]
-        found = []
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            to = roots(codes[a:b].view(np.uint64), distance, None if proofs is None else proofs[a:b])
-            moved = np.flatnonzero(to != np.arange(len(to)))
-            found.append((codes[a:b][moved], codes[a:b][to[moved]]))
-        left = np.concatenate([x for x, _ in found]) if found else codes[:0]
-        right = np.concatenate([y for _, y in found]) if found else codes[:0]
-        return pd.DataFrame({"a": left, "b": right})
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        rest.append(batch)
-        last, first = batch.iloc[-1], rest[0].iloc[0]
-        if (last["mask"], last["masked"]) == (first["mask"], first["masked"]):
-            continue  # one group so far
-        rows = pd.concat(rest, ignore_index=True)
-        own = (rows["mask"] == last["mask"]) & (rows["masked"] == last["masked"])
-        cut = len(rows) - int(own.sum())
-        yield linked(rows.iloc[:cut])
-        rest = [rows.iloc[cut:]]
-    if rest:
-        yield linked(pd.concat(rest, ignore_index=True))
-
-
-def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b) that connect all codes of the column ``code`` within the distance.
-
-    Codes must be distinct. Every two codes that differ in at most ``distance`` bits (and, if
-    there is a column ``proof``, in ``CONFIRMED`` bits of that) are connected by a path of
-    such pairs; others are not.
+    """Rows (node, code) sorted by node and Gray rank to pairs (code, code it is linked with)."""
+    for rows in whole_nodes(batches):
+        node, codes = rows["node"].to_numpy(), rows["code"].to_numpy()
+        starts = node_starts(node)
+        left, right = [codes[:0]], [codes[:0]]
+        for a, b in zip(starts, starts[1:]):
+            if b - a > 1:
+                to = roots(codes[a:b].view(np.uint64), distance)
+                moved = np.flatnonzero(to != np.arange(len(to)))
+                left.append(codes[a:b][moved])
+                right.append(codes[a:b][to[moved]])
+        yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def dealt(codes: DataFrame, masks_: list[int]) -> DataFrame:
+    """Rows (node, code): each code under each masked pattern, those of large nodes as pairs of chunks.
+
+    One code in ``SAMPLED`` tells which nodes are large; every two codes of a node still meet.
     """
-    proof = [name for name in codes.columns if name == "proof"]
-    nodes = F.explode(
+    pattern = F.explode(
         F.array(
             *(
                 F.struct(F.lit(i).alias("mask"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("masked"))
-                for i, m in enumerate(masks(distance, codes.count()))
+                for i, m in enumerate(masks_)
             )
         )
     )
-    dealt = (
-        codes.select("code", *proof, nodes.alias("node"))
-        .select("node.mask", "node.masked", "code", *proof)
-        .repartition("mask", "masked")
+    rows = codes.select("code", pattern.alias("p")).select(F.xxhash64("p.mask", "p.masked").alias("node"), "code")
+    sampled = rows.where(F.pmod(F.xxhash64("code", F.lit(SEED)), F.lit(SAMPLED)) == 0).groupBy("node").count()
+    large = stored(
+        sampled.select("node", F.ceil(F.col("count") * SAMPLED / LARGEST_NODE).cast("int").alias("chunks")).where("chunks > 1"),
+        "near-large",
+    )
+    own = F.pmod(F.xxhash64("code", "node"), F.col("chunks")).cast("int")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.xxhash64("node", F.least(own, other), F.greatest(own, other))
+    )
+    nodes = F.explode(F.when(F.col("chunks").isNull(), F.array("node")).otherwise(parts))
+    return rows.join(large, "node", "left").select(nodes.alias("node"), "code")
+
+
+def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) that connect all codes of the column ``code`` within the distance.
+
+    Codes must be distinct. Every two codes that differ in at most ``distance`` bits are
+    connected by a path of such pairs; others are not.
+    """
+    rows = (
+        dealt(codes, masks(distance, codes.count()))
+        .repartition("node")
         .withColumn("rank", F.shiftrightunsigned(gray_rank(F.col("code")), 1))
-        .sortWithinPartitions("mask", "masked", "rank", "code")
+        .sortWithinPartitions("node", "rank", "code")
         .drop("rank")
     )
-    return dealt.mapInPandas(lambda batches: _links(batches, distance), "a long, b long").distinct()
+    return rows.mapInPandas(lambda batches: _links(batches, distance), "a long, b long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -296,10 +266,9 @@ def components(pairs: DataFrame) -> DataFrame:
 def _rooted(codes: DataFrame, least: Column, distance: int) -> DataFrame:
     """``code``, ``least`` (of its texts) and ``root`` for each distinct ``code``.
 
-    Texts with equal codes are one; the least of their proofs, if there are any, stands for all.
+    Texts with equal codes are one.
     """
-    proof = [F.min(name).alias(name) for name in codes.columns if name == "proof"]
-    distinct = stored(codes.groupBy("code").agg(F.min(least).alias("least"), *proof), "near-codes")
+    distinct = stored(codes.groupBy("code").agg(F.min(least).alias("least")), "near-codes")
     connected = components(links(distinct.drop("least"), distance))
     return distinct.join(connected, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root"))
 
@@ -317,199 +286,3 @@ def near_duplicates(docs: DataFrame, size: int = WORDS_PER_SHINGLE, distance: in
     groups = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-groups")
     labels = rooted.join(groups, "root").select("code", "component_id")
     return codes.join(labels, "code").select("doc_id", "code", "component_id")
-
-
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """``WORDS`` majorities over different shingles, each of hashes mixed once more."""
-    words = []
-    for _ in range(WORDS):
-        words.append(majority(hashes))
-        hashes = mixed(hashes)
-    return words
-
-
-def bands(codes: int, likeness: float) -> np.ndarray:
-    """Masks (rows of ``WORDS`` words) of random bits; near texts agree in all bits of some.
-
-    More codes need more bits a mask, and those more masks, until pairs exactly as alike as
-    asked for are found with chance ``RECALL``, the bound ``WIDE`` on all bits included.
-    """
-    bits = BITS * WORDS
-    kept = int(min(24, max(4, log2(max(codes, 1) / CODES_PER_BAND))))
-    turned = acos(2 * likeness / (1 + likeness)) / pi
-    x = np.arange(WIDE + 1)
-    weight = np.array([comb(bits, i) * turned**i * (1 - turned) ** (bits - i) for i in x.tolist()])
-    agree = np.array([comb(bits - i, kept) / comb(bits, kept) for i in x.tolist()])
-    number = 1
-    while (weight * (1 - (1 - agree) ** number)).sum() < RECALL:
-        number += 1
-    rng = np.random.default_rng(SEED)
-    masks_ = np.zeros((number, bits), dtype=np.uint8)
-    for row in masks_:
-        row[rng.choice(bits, kept, replace=False)] = 1
-    return np.packbits(masks_, axis=1).view(">u8").astype(np.uint64)
-
-
-def _wide_near(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= WIDE
-
-
-def _across(words: np.ndarray, label: np.ndarray, next_to: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs of one band's node, sorted by label. ``next_to``: neighbours only, else all of unlike labels."""
-    if next_to:
-        a = np.arange(len(label) - 1)
-        there = _wide_near(words, a, a + 1)
-        return a[there], a[there] + 1
-    starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-    ends = np.r_[starts[1:], len(label)]
-    left, right = [], []
-    for start, end in zip(starts[:-1].tolist(), ends[:-1].tolist()):
-        after = len(label) - end
-        step = max(1, SLICE // after)
-        for low in range(start, end, step):
-            a = np.repeat(np.arange(low, min(end, low + step)), after)
-            b = np.tile(np.arange(end, len(label)), min(end, low + step) - low)
-            there = _wide_near(words, a, b)
-            left.append(a[there])
-            right.append(b[there])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def candidates(units: DataFrame, masks_: np.ndarray, next_to: bool) -> DataFrame:
-    """Distinct pairs (a < b) of ``code`` that share a band's bits and are near in all bits.
-
-    ``units`` has code, label and the words w0, w1, ... Pairs with one label are left out; with
-    ``next_to`` only neighbours in a node's order are looked at.
-    """
-    names = [f"w{i}" for i in range(WORDS)]
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odd = np.random.default_rng(SEED + 1).integers(0, 1 << 63, size=WORDS).astype(np.uint64) | np.uint64(1)
-        for batch in batches:
-            words = batch[names].to_numpy().view(np.uint64)
-            for number, mask in enumerate(masks_):
-                with np.errstate(over="ignore"):
-                    key = mixed(((mixed(words & mask) * odd).sum(axis=1, dtype=np.uint64)) + np.uint64(number))
-                yield batch.assign(node=key.view(np.int64))
-
-    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-
-        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-            node, code, label = (rows[name].to_numpy() for name in ("node", "code", "label"))
-            words = rows[names].to_numpy().view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            ends = np.r_[starts[1:], len(rows)]
-            wide = (ends - starts > 1) & (label[starts] != label[ends - 1])
-            left, right = [code[:0]], [code[:0]]
-            few = ends - starts <= FEW
-            if not next_to:
-                # Nodes of few rows at once: each row with the one after it, the one after that, and so on.
-                until = np.repeat(np.where(wide & few, ends, 0), ends - starts)
-                a = np.flatnonzero(until)
-                for step in range(1, FEW):
-                    a = a[a + step < until[a]]
-                    apart = a[label[a] != label[a + step]]
-                    apart = apart[_wide_near(words, apart, apart + step)]
-                    left.append(code[apart])
-                    right.append(code[apart + step])
-                wide &= ~few
-            for a, b in zip(starts[wide], ends[wide]):
-                x, y = _across(words[a:b], label[a:b], next_to)
-                left.append(code[a:b][x])
-                right.append(code[a:b][y])
-            a, b = np.concatenate(left), np.concatenate(right)
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            rest.append(batch)
-            last = batch["node"].iloc[-1]
-            if last == rest[0]["node"].iloc[0]:
-                continue
-            rows = pd.concat(rest, ignore_index=True)
-            cut = int((rows["node"].to_numpy() != last).sum())
-            yield pairs(rows.iloc[:cut])
-            rest = [rows.iloc[cut:]]
-        if rest:
-            yield pairs(pd.concat(rest, ignore_index=True))
-
-    types = ", ".join(f"{name} long" for name in ("code", "label", *names, "node"))
-    return (
-        units.select("code", "label", *names)
-        .mapInPandas(dealt, types)
-        .repartition("node")
-        .sortWithinPartitions("node", "label", "code")
-        .mapInPandas(paired, "a long, b long")
-        .distinct()
-    )
-
-
-def jaccard(a: str | None, b: str | None, size: int) -> float:
-    """Shared shingles to all shingles; 1 for two texts without words."""
-    x, y = (np.unique(shingle_hashes(text, size)) for text in (a, b))
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
-
-
-def one_of_each(docs: DataFrame, size: int = WORDS_PER_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns.
-
-    Links are pairs of texts whose sets of shingles have a Jaccard likeness of ``likeness`` or
-    more, computed from both texts; fingerprints only find the pairs to look at. Null ids come
-    last; of rows equal in id and text one stays. Null and empty texts are one component; an
-    empty input gives an empty result.
-    """
-    own = without(docs, "_key1", "_key2")
-    # Two hashes of id and text find a document again: unlike ids they are never null or shared.
-    keyed = own.withColumns(
-        {"_key1": F.xxhash64("doc_id", whole()), "_key2": F.xxhash64(F.lit(SEED), whole(), "doc_id")}
-    )
-    names = [f"w{i}" for i in range(WORDS)]
-
-    @F.pandas_udf(", ".join(f"{name} long" for name in ("code", *names)))
-    def printed(texts: pd.Series) -> pd.DataFrame:
-        made = []
-        for text in texts:
-            words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-            code = int(np.uint64(xxhash.xxh64_intdigest(words, SEED)).view(np.int64))
-            made.append((code, *wide_fingerprint(np.unique(shingle_hashes(text, size)))))
-        return pd.DataFrame(made, columns=["code", *names], dtype="int64")
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, size) >= likeness for x, y in zip(a, b)], dtype=bool)
-
-    prints = keyed.select("doc_id", "_key1", "_key2", printed("text").alias("_p")).select("doc_id", "_key1", "_key2", "_p.*")
-    least = F.struct(F.col("doc_id").isNull(), "doc_id", "_key1", "_key2")
-    units = stored(
-        stored(prints, "near-fingerprints").groupBy("code").agg(F.min(least).alias("least"), *(F.min(n).alias(n) for n in names)),
-        "near-codes",
-    )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs with ``near``, from the texts of both."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
-        keys = units.join(wanted, "code").select("code", "least._key1", "least._key2")
-        texts = keyed.select("_key1", "_key2", whole().alias("text")).join(keys, ["_key1", "_key2"])
-        texts = stored(texts.select("code", "text").dropDuplicates(["code"]), "near-texts")
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return stored(both.select("a", "b", alike("text_a", "text_b").alias("near")), "near-confirmed")
-
-    def rooted(pairs: DataFrame) -> DataFrame:
-        return units.join(components(pairs), "code", "left").withColumn("label", F.coalesce("root", "code")).drop("root")
-
-    masks_ = bands(units.count(), likeness)
-    # First the neighbours in a few bands, so that a mass of near copies is linked without all its pairs.
-    first = confirmed(stored(candidates(units.withColumn("label", F.col("w0")), masks_[:FIRST_BANDS], True), "near-pairs"))
-    linked = stored(rooted(first.where("near").select("a", "b")), "near-labels")
-    # Then all pairs between what isn't linked yet: every near pair is compared or linked already.
-    others = candidates(linked, masks_, False).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = confirmed(stored(others, "near-pairs"))
-    links_ = first.unionByName(second).where("near").select("a", "b")
-    chosen = rooted(links_).groupBy("label").agg(F.min("least").alias("least"))
-    chosen = stored(chosen.select("least._key1", "least._key2"), "near-chosen")
-    kept = keyed.join(chosen, ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"])
-    return kept.select(*(quoted(name) for name in own.columns))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from llm_cases import ODD, needs_data
-from spelltally.llm import chosen_path, overlap
+from spelltally.llm import chosen_path, common, overlap
 
 
 def plain_set(text, size=5):
@@ -138,7 +138,7 @@ def test_whole_nodes_across_batches():
     frame = pd.DataFrame({"node": [1, 1, 1, 2, 2, 3, 4, 4, 4, 4], "x": range(10)})
     for size in (1, 2, 3, 10):
         batches = (frame.iloc[i : i + size].reset_index(drop=True) for i in range(0, 10, size))
-        made = list(overlap.whole_nodes(batches))
+        made = list(common.whole_nodes(batches))
         assert pd.concat(made)["x"].tolist() == list(range(10))
         nodes = [set(m["node"]) for m in made]
         assert sum(map(len, nodes)) == 4

@@ -21,23 +21,11 @@ def plain_fingerprint(text, size=4):
     return plain_majority(plain_hashes(text, size))
 
 
-def plain_proof(text, size=4):
-    """The fingerprint over mixed hashes."""
-    mixed = []
-    for h in plain_hashes(text, size):
-        x = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
-        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
-        mixed.append(x ^ (x >> 31))
-    return plain_majority(mixed)
-
-
-def plain_components(codes, distance=4, proofs=None):
+def plain_components(codes, distance=4):
     label = list(range(len(codes)))
     for i, a in enumerate(codes):
         for j in range(i):
             near = bin(a ^ codes[j]).count("1") <= distance
-            if near and a != codes[j] and proofs is not None:
-                near = bin(proofs[i] ^ proofs[j]).count("1") <= simhash.CONFIRMED
             if near and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
@@ -52,29 +40,6 @@ def test_index_links_what_brute_force_links(number):
     assert list(simhash.roots(np.array(codes, dtype=np.uint64))) == plain_components(codes)
 
 
-@pytest.mark.parametrize("number", [2, 40, 300])
-def test_confirmed_links_are_what_brute_force_links(number):
-    rng = np.random.default_rng(number)
-    base = [(int(c), int(p)) for c, p in rng.integers(0, 1 << 62, size=(max(1, number // 10), 2))]
-
-    def changed(value, bits):
-        return value ^ sum(1 << int(b) for b in rng.choice(62, int(bits), replace=False))
-
-    made = [base[int(rng.integers(len(base)))] for _ in range(number)]
-    pairs = {changed(c, rng.integers(1, 6)): changed(p, rng.integers(4, 14)) for c, p in made}
-    codes = sorted(pairs, key=lambda x: [x := x ^ (x >> s) for s in (32, 16, 8, 4, 2, 1)][-1])
-    proofs = [pairs[c] for c in codes]
-    found = simhash.roots(np.array(codes, dtype=np.uint64), 8, np.array(proofs, dtype=np.uint64))
-    assert list(found) == plain_components(codes, 8, proofs)
-
-
-def test_like_fingerprints_of_unlike_texts_are_not_linked(spark):
-    rows = [(3, 7), (11, 7), (5, -9), (1 << 20, 1 << 40)]
-    frame = spark.createDataFrame(rows, "code long, proof long")
-    found = {r.code: r.root for r in simhash.components(simhash.links(frame, 8)).collect()}
-    assert found.get(5, 5) == 5 and found[11] == found.get(3, 3) == found[1 << 20]
-
-
 @pytest.mark.parametrize(("distance", "codes"), [(4, 100), (4, 10**9), (8, 10**6)])
 def test_masks_cover_all_near_pairs(distance, codes):
     rng = np.random.default_rng(3)
@@ -98,14 +63,27 @@ def test_chains_are_one_component(spark):
     assert set(found.values()) == {0} and set(found) | {0} == set(codes)
 
 
+def test_large_nodes_are_dealt_out(spark, monkeypatch):
+    """A node with a third of all codes goes to several tasks, with the same links."""
+    rng = np.random.default_rng(8)
+    near = {0x1234567800000000 | int(x) for x in rng.integers(0, 1 << 14, size=700)}
+    far = {int(x) for x in rng.integers(0, 1 << 62, size=1400)}
+    codes = sorted(near | far)
+    frame = spark.createDataFrame([(c,) for c in codes], "code long")
+    plain = [codes[i] for i in plain_components(codes)]
+    for most in (1 << 16, 100):
+        monkeypatch.setattr(simhash, "LARGEST_NODE", most)
+        found = {r.code: r.root for r in simhash.components(simhash.links(frame)).collect()}
+        assert [found.get(c, c) for c in codes] == plain
+    sizes = simhash.dealt(frame, simhash.masks(4, len(codes))).groupBy("node").count().toPandas()["count"]
+    assert sizes.max() < 400
+
+
 def test_near_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).toPandas()
     assert len(rows) == len(ODD)
     assert set(rows["component_id"][rows["code"] == 0]) == {2}
-    kept = simhash.one_of_each(odd).toPandas()
-    assert list(kept.columns) == odd.columns
-    assert kept["doc_id"].notna().sum() == len(kept) - 1 and set(kept["doc_id"].dropna()) == {1, 2, 4}
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
 
 
 def test_fingerprints_query(provided, documents):
@@ -136,45 +114,3 @@ def test_fingerprints_odd_rows(odd, empty, spark):
     one = minhash.fingerprinted(spark.createDataFrame([(7, "abcdefgh")], "doc_id long, text string")).first()
     assert one.n_chars == 8 and one.near_next == 1.0
     assert minhash.fingerprinted(empty).count() == 0
-
-
-def shingle_set(text, size=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def test_one_of_each_against_brute_force_jaccard(spark):
-    rng = np.random.default_rng(5)
-    texts = []
-    for _ in range(120):
-        words = [f"w{i}" for i in rng.integers(0, 5000, size=int(rng.integers(60, 400)))]
-        texts.append(" ".join(words))
-        for edits in (len(words) // 50, len(words) // 36, len(words) // 28):
-            other = list(words)
-            for place in rng.choice(len(words), edits, replace=False):
-                other[place] = "changed"
-            texts.append(" ".join(other))
-    sets = [shingle_set(t) for t in texts]
-    label = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8)
-    found, wanted = {r.doc_id for r in kept.collect()}, set(label)
-    assert 120 < len(wanted) < 480 and wanted <= found and len(found - wanted) <= 2
-
-
-@pytest.mark.parametrize("shingles", [18, 90, 450])
-def test_bands_find_pairs_at_the_likeness(shingles):
-    """Pairs of equal sets at exactly 0.8, by the bands for few and for many texts."""
-    rng = np.random.default_rng(shingles)
-    for codes in (1000, 10**6):
-        masks, found = simhash.bands(codes, 0.8), 0
-        for _ in range(400):
-            hashes = rng.integers(0, 1 << 64, size=shingles * 10 // 9, dtype=np.uint64)
-            a, b = (np.array(simhash.wide_fingerprint(x)).view(np.uint64) for x in (hashes[:shingles], hashes[-shingles:]))
-            apart = a ^ b
-            found += bool(((apart & masks) == 0).all(axis=1).any()) and np.bitwise_count(apart).sum() <= simhash.WIDE
-        assert found >= 0.98 * 400

@@ -1,5 +1,5 @@
 from llm_cases import FOLDER
-from test_near_copies import plain_components, plain_fingerprint, plain_proof
+from test_chosen_path import plain_components
 
 import corpus_pipeline
 from spelltally.llm import mixing, quality
@@ -30,9 +30,7 @@ def test_stages_against_brute_force(spark):
     scores = quality.score_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).toPandas()
     assert set(good["doc_id"]) == set(scores["doc_id"][scores["predicted"] == 1])
 
-    codes, proofs = ([made(text, corpus_pipeline.NEAR_WORDS) for text in good["text"]] for made in (plain_fingerprint, plain_proof))
-    groups = plain_components(codes, corpus_pipeline.NEAR_BITS, proofs)
-    assert list(single["doc_id"]) == [good["doc_id"][i] for i in sorted(set(groups))]
+    assert list(single["doc_id"]) == one_of_each(good)
 
     items = list(spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()["text"])
     holding = {d for d, text in zip(single["doc_id"], single["text"]) if any(item in text for item in items)}
@@ -47,17 +45,20 @@ def test_stages_against_brute_force(spark):
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
-def test_near_dedup_against_brute_force_jaccard(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    rows = docs.toPandas().sort_values("doc_id", ignore_index=True)
-    words = [t.encode().lower().split() for t in rows["text"]]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    label = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            near = len(a & sets[j]) >= 0.8 * len(a | sets[j])
-            if near and label[i] != label[j]:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).toPandas()
-    assert sorted(kept["doc_id"]) == [rows["doc_id"][i] for i in sorted(set(label))]
+def one_of_each(rows):
+    """The smallest id of each component by plain Jaccard of five-word shingles; texts without words are one."""
+    texts = list(rows["text"])
+    empty = [i for i, t in enumerate(texts) if not (t or "").split()]
+    label = [empty[0] if i in empty else c for i, c in enumerate(plain_components(texts, 4, 5))]
+    return [rows["doc_id"][i] for i in sorted(set(label))]
+
+
+def test_stages_of_odd_rows(spark, odd, empty):
+    """Nulls, empty and very long texts, repeated rows and extra columns pass through every stage."""
+    for given in (odd, empty):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, FOLDER), "odd")
+            assert docs.columns == given.columns, name
+        dealt = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+        assert dealt.count() == docs.count()
