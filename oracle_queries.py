@@ -487,6 +487,14 @@ def counted(label: str, selects: dict[str, str]) -> str:
     )
 
 
+SELECTS["date_diagnostics_in_passing"] = " UNION ALL ".join(
+    f"""
+    SELECT '{reading}' AS reading, d.*, (
+        SELECT count(*) FROM focal_positions
+        WHERE {active(parse('trim(startdate)'), parse('trim(enddate)'), 'enddate')}) AS running_spells
+    FROM ({SELECTS[name]}) d"""
+    for reading, name in (("strict", "date_diagnostics_positions"), ("trimmed", "date_diagnostics_trimmed"))
+)
 SELECTS["extraction_run"] = counted(
     "extract",
     {

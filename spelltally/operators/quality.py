@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spelltally.functions.dates import parse_date
@@ -172,16 +172,53 @@ def date_diagnostics_by(
     frame: DataFrame, dataset: str, *variables: str, readings: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """:func:`date_diagnostics` for several ways to read a date, named in ``reading``; one pass."""
-    figures = [F.count(F.lit(1)).alias("rows")]
+    return _date_rows(frame.agg(*_date_figures(variables, readings)), dataset, variables, list(readings))
+
+
+def dates_in_passing(
+    frame: DataFrame, dataset: str, *variables: str, readings: dict[str, Callable[[Column], Column]]
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The frame, and its :func:`date_diagnostics_by` once a job has gone through it.
+
+    The first action on the returned frame must go through all of its rows, and may filter,
+    project and write them, without a shuffle in between: only tasks of a job's last stage
+    count each row once even when an executor is lost and work is repeated. The diagnostics
+    wait for that action.
+    """
+    seen = Observation()
+    figures = _date_figures(variables, readings)
+    names = [name for name, _ in _figure_names(variables, readings)]
+
+    def diagnostics() -> DataFrame:
+        # An empty frame is optimised away together with its figures.
+        counted = [int(seen.get.get(name) or 0) for name in names]
+        row = frame.sparkSession.createDataFrame([tuple(counted)], ", ".join(f"`{name}` long" for name in names))
+        return _date_rows(row, dataset, variables, list(readings))
+
+    return frame.observe(seen, *figures), diagnostics
+
+
+def _figure_names(variables: Iterable[str], readings: dict[str, Callable[[Column], Column]]) -> list[tuple[str, Column]]:
+    """Names and aggregates of what date diagnostics are made from."""
+    figures = [("rows", F.count(F.lit(1)))]
     for name in variables:
         text = F.col(name)
         present = has_text(text)
-        figures.append(F.count_if(present).alias(f"{name}_present"))
+        figures.append((f"{name}_present", F.count_if(present)))
         figures += [
-            F.count_if(present & parse(text).isNull()).alias(f"{name}_failed_{reading}")
-            for reading, parse in readings.items()
+            (f"{name}_failed_{reading}", F.count_if(present & parse(text).isNull())) for reading, parse in readings.items()
         ]
+    return figures
+
+
+def _date_figures(variables: Iterable[str], readings: dict[str, Callable[[Column], Column]]) -> list[Column]:
+    return [figure.alias(name) for name, figure in _figure_names(variables, readings)]
+
+
+def _date_rows(figures: DataFrame, dataset: str, variables: Iterable[str], readings: list[str]) -> DataFrame:
+    """Rows per reading and variable from one row of figures."""
 
+    # Fixed names: the columns of the date report.
     def row(reading: str, name: str) -> Column:
         present, failed = F.col(f"{name}_present"), F.col(f"{name}_failed_{reading}")
         return F.struct(
@@ -195,8 +232,7 @@ def date_diagnostics_by(
             ratio_or_zero(failed, present).alias("failed_conversion_share"),
         )
 
-    rows = (row(reading, name) for reading in readings for name in variables)
-    return frame.agg(*figures).select(F.inline(F.array(*rows)))
+    return figures.select(F.inline(F.array(*(row(reading, name) for reading in readings for name in variables))))
 
 
 def date_report(diagnostics: DataFrame) -> DataFrame:

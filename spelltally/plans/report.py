@@ -4,12 +4,14 @@ The universe is kept on the executors for the length of the run, and its ids are
 once. Firm-level and pair-level results feed several outputs, so they are written as
 Parquet first and read back; a lost executor costs nothing that is already stored.
 
-Spells are scanned three times, for firm counts, for roles (whose dates are trimmed first)
-and for date diagnostics; each posting board three times, for keys, dates and months.
+Spells and each posting board are scanned once (``passes``): their dates are diagnosed while
+the rows that results need go by and are stored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +22,7 @@ from spelltally.operators import quality
 from spelltally.operators import roles as role_ops
 from spelltally.operators import sizes as size_ops
 from spelltally.operators.firms import FirmUniverse
-from spelltally.plans import checks, extraction, firms, monthly, roles
+from spelltally.plans import extraction, firms, monthly, passes, roles
 from spelltally.sources.sinks import kept, write_csv, write_parquet
 
 
@@ -46,13 +48,22 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
         names[name] = frame.schema
 
     def save_by_country(name: str, members: DataFrame) -> None:
-        grouped = firm_ops.firms_by_country(members)
+        # Grouped once: what was stored is checked before it becomes a result.
+        grouped = stored(name, firm_ops.firms_by_country(members))
         quality.enforce(quality.check_group_sum(grouped, "company_count", members, name))
-        save(name, grouped)
+        save(name, grouped.orderBy(F.desc("company_count"), F.asc("hq_country")))
 
     quality.enforce(quality.check_key(universe.firms, "rcid", "companies.rcid"))
     save_by_country("companies_by_country", universe.firms)
 
+    spells, dates = passes.spells_pass(tables, study, universe, f"{folder}/_parquet/active_spells")
+    kept_rows, posting_dates = {"user_positions": spells}, []
+    for board in firms.BOARDS.values():
+        kept_rows[board], found = passes.postings_pass(tables, board, universe, f"{folder}/_parquet/{board}")
+        posting_dates.append(found)
+    tables = passes.PassedTables(kept_rows)
+    universe = FirmUniverse(universe.firms, universe.ids, extracted=True)
+
     both = stored("firm_counts", firms.firm_and_focal_counts(tables, study, universe))
     employees = both.drop("focal_employee_count")
     focal = both.drop("employee_count")
@@ -93,10 +104,9 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
     save("role_concentration", role_ops.role_concentration(composition))
     save("role_selection_diagnostics", role_ops.role_selection_diagnostics(pairs))
 
-    dates = stored("date_diagnostics", checks.position_dates_both(tables, study, universe))
-    for name, reading in (("positions", checks.STRICT), ("trimmed", checks.TRIMMED)):
+    for name, reading in (("positions", passes.STRICT), ("trimmed", passes.TRIMMED)):
         save(f"date_diagnostics_{name}", dates.where(F.col("reading") == reading).drop("reading"))
-    save("date_diagnostics_postings", checks.posting_dates(tables, study, universe))
+    save("date_diagnostics_postings", reduce(DataFrame.unionByName, posting_dates))
 
     for board in firms.BOARDS.values():
         months = stored(f"monthly_{board}", monthly.monthly_postings_both(tables, study, board, universe))

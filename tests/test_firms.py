@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from spelltally.config import BIOPHARM
 from spelltally.operators import firms as firm_ops
 from spelltally.operators.dedup import one_row_per_key, smallest_per_key
-from spelltally.plans import checks, extraction, firms, monthly, roles
+from spelltally.operators.firms import FirmUniverse
+from spelltally.plans import checks, extraction, firms, monthly, passes, roles
 
 PHARMA = "Pharmaceuticals"
 COMPANIES = [
@@ -101,10 +102,31 @@ def test_one_pass_gives_what_two_give(spark):
     both = firms.firm_and_focal_counts(given, BIOPHARM, universe)
     assert rows_of(both.drop("focal_employee_count")) == rows_of(firms.firm_employee_counts(given, BIOPHARM))
     assert rows_of(both.drop("employee_count")) == rows_of(firms.firm_focal_counts(given, BIOPHARM))
-    dates = checks.position_dates_both(given, BIOPHARM, universe)
-    for reading, trimmed in ((checks.STRICT, False), (checks.TRIMMED, True)):
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_dates_are_diagnosed_in_passing(spark, tmp_path, few):
+    """With ids sent out and with ids joined by shuffle; what was kept gives the same results."""
+    given = tables(spark)
+    universe = extraction.universe(given, BIOPHARM)
+    universe.broadcast_rows = few
+    spells, dates = passes.spells_pass(given, BIOPHARM, universe, f"{tmp_path}/spells")
+    for reading, trimmed in ((passes.STRICT, False), (passes.TRIMMED, True)):
         alone = checks.position_dates(given, BIOPHARM, trimmed)
         assert rows_of(dates.where(F.col("reading") == reading).drop("reading")) == rows_of(alone)
+    kept, boards = {"user_positions": spells}, []
+    for board in firms.BOARDS.values():
+        kept[board], found = passes.postings_pass(given, board, universe, f"{tmp_path}/{board}")
+        boards += rows_of(found)
+    assert sorted(boards, key=repr) == rows_of(checks.posting_dates(given, BIOPHARM))
+    passed = passes.PassedTables(kept)
+    own = FirmUniverse(universe.firms, universe.ids, extracted=True)
+    for plan in (firms.firm_employee_counts, firms.firm_focal_counts, firms.firm_posting_counts):
+        assert rows_of(plan(passed, BIOPHARM, own)) == rows_of(plan(given, BIOPHARM))
+    assert rows_of(roles.pair_summary(passed, BIOPHARM, own)) == rows_of(roles.pair_summary(given, BIOPHARM))
+    for board in firms.BOARDS.values():
+        both = monthly.monthly_postings_both(passed, BIOPHARM, board, own)
+        assert rows_of(both) == rows_of(monthly.monthly_postings_both(given, BIOPHARM, board, universe))
 
 
 def test_posting_keys(spark):

@@ -2,7 +2,7 @@ import pytest
 from frames import rows_of
 from pyspark.sql import functions as F
 
-from spelltally.functions.dates import parse_date_trimmed
+from spelltally.functions.dates import parse_date, parse_date_trimmed
 from spelltally.operators import quality, samples
 
 
@@ -94,6 +94,13 @@ def test_date_diagnostics(spark):
     ]
 
 
+def test_dates_in_passing_of_an_empty_frame(spark, tmp_path):
+    frame = spark.createDataFrame([], "s string")
+    watched, dates = quality.dates_in_passing(frame, "d", "s", readings={"": parse_date})
+    watched.write.parquet(str(tmp_path / "none"))
+    assert rows_of(dates()) == [("", "d", "s", 0, 0, 0, 0, 0.0)]
+
+
 def test_profile_table(spark):
     frame = spark.createDataFrame([(1, "a"), (1, None), (None, None)], "k long, v string")
     assert rows_of(quality.profile_table(frame, "t", ("k",))) == sorted(

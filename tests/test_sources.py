@@ -5,7 +5,7 @@ from frames import MemoryTables, rows_of
 from test_firms import COMPANIES, INDEED, LINKEDIN, POSITIONS
 
 from spelltally.config import BIOPHARM, STUDIES
-from spelltally.plans import extraction, firms, inspection
+from spelltally.plans import checks, extraction, firms, inspection
 from spelltally.plans.report import run_report
 from spelltally.schemas import SOURCE_TABLES
 from spelltally.sources import scans, scratch, sinks
@@ -142,6 +142,24 @@ def test_extraction_then_report(spark, tables, tmp_path):
     assert rows_of(active) == rows_of(firms.active_firms(tables, BIOPHARM))
 
 
+def test_report_reads_each_fact_table_once(spark, tables, tmp_path):
+    read = []
+
+    class Counted:
+        def frame(self, name, *columns):
+            read.append(name)
+            return tables.frame(name, *columns)
+
+    run_report(Counted(), BIOPHARM, str(tmp_path))
+    assert [name for name in sorted(read) if name != "company_ref"] == ["postings_indeed", "postings_linkedin", "user_positions"]
+    dates = scans.scan_csv(
+        spark, str(tmp_path / "date_diagnostics_positions"),
+        "dataset string, variable string, row_count long, missing_or_blank_count long, "
+        "nonmissing_string_count long, failed_conversion_count long, failed_conversion_share double",
+    )
+    assert rows_of(dates) == rows_of(checks.position_dates(tables, BIOPHARM))
+
+
 def test_report_stops_on_a_null_company_key(spark, tables, tmp_path):
     tables.rows["company_ref"] = COMPANIES + [(None, "Nameless", "Peru", "k", "Pharmaceuticals")]
     with pytest.raises(ValueError, match="key_not_null"):
