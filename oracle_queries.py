@@ -495,6 +495,11 @@ SELECTS["date_diagnostics_in_passing"] = " UNION ALL ".join(
     FROM ({SELECTS[name]}) d"""
     for reading, name in (("strict", "date_diagnostics_positions"), ("trimmed", "date_diagnostics_trimmed"))
 )
+SELECTS["employees_by_level"] = """
+    SELECT CASE WHEN grouping(rcid) = 0 THEN 'firm' WHEN grouping(hq_country) = 0 THEN 'country' ELSE 'all' END AS level,
+           hq_country, rcid, count(DISTINCT user_id) AS employee_count
+    FROM (SELECT u.rcid, u.hq_country, p.user_id FROM pairs p JOIN universe u ON p.rcid = u.rcid WHERE p.user_id IS NOT NULL)
+    GROUP BY GROUPING SETS ((hq_country, rcid), (hq_country), ())"""
 SELECTS["extraction_run"] = counted(
     "extract",
     {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spelltally.functions.numbers import zero_if_null
@@ -44,7 +44,8 @@ class FirmUniverse:
         Few ids go out as a broadcast and the facts are not shuffled. Many ids are
         joined by shuffle, where adaptive execution splits the partition of a hot firm.
         It does so only if both sides come straight from a shuffle, hence plain ids
-        without a distinct on top.
+        without a distinct on top. There the session's settings let the optimizer build a
+        Bloom filter of the ids, which drops most other facts before the shuffle.
         """
         if self.extracted:
             return facts
@@ -67,15 +68,35 @@ class FirmUniverse:
             return group(self.keep(facts))
         return self.keep(group(facts))
 
-    def with_counts(self, counts: DataFrame, name: str) -> DataFrame:
-        """All firms with their count; firms without one get zero."""
-        return self.firms.join(counts, "rcid", "left").select(
+    def with_counts(self, counts: DataFrame, name: str, validate: bool = False) -> DataFrame:
+        """All firms with their count; firms without one get zero. ``validate`` as in ``join_firm_counts``."""
+        firms = self.firms
+        if validate:
+            firms, counts = once(firms, "rcid", "firms"), once(counts, "rcid", name)
+        return firms.join(counts, "rcid", "left").select(
             "rcid", "hq_country", zero_if_null(F.col(name)).alias(name)
         )
 
 
-def join_firm_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two firm-level results side by side, one row per firm in both."""
+def once(frame: DataFrame, key: str, subject: str) -> DataFrame:
+    """The frame; the job that uses it fails on a key that stands in more than one row.
+
+    The count goes over the key's partition of the join that follows, so it adds no shuffle to one.
+    For results with one row per key, or nearly so: rows of one key meet in a task.
+    """
+    repeated = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    message = F.concat(F.lit(f"one_to_one of {subject}: {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" is repeated"))
+    checked = F.when(F.col("_repeated"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return frame.withColumn("_repeated", repeated).where(checked).drop("_repeated")
+
+
+def join_firm_counts(left: DataFrame, right: DataFrame, validate: bool = False) -> DataFrame:
+    """Two firm-level results side by side, one row per firm in both.
+
+    With ``validate`` the join itself fails when a side holds a firm twice.
+    """
+    if validate:
+        left, right = once(left, "rcid", "left"), once(right, "rcid", "right")
     return left.join(right.drop("hq_country"), "rcid", "inner")
 
 

@@ -39,9 +39,11 @@ def postings_per_firm(keys: DataFrame) -> DataFrame:
 
 def monthly_counts(postings: DataFrame) -> DataFrame:
     """Distinct job ids per month of their earliest readable date; observed months only."""
-    dated = postings.select("job_id", parse_date(F.col("post_date")).alias("post_date"))
+    dated = postings.where("job_id IS NOT NULL AND post_date IS NOT NULL").select(
+        "job_id", parse_date(F.col("post_date")).alias("post_date")
+    )
     return (
-        smallest_per_key(dated.dropna(), ["job_id"], "post_date")
+        smallest_per_key(dated.where("post_date IS NOT NULL"), ["job_id"], "post_date")
         .groupBy(month_start(F.col("post_date")).alias("month"))
         .agg(F.count("job_id").alias("posting_count"))
         .orderBy("month")

@@ -84,7 +84,7 @@ def overlap_counts(spells: DataFrame, role: str, categories: tuple[str, ...]) ->
     """
     flags = [f"_in_{i}" for i, _ in enumerate(categories)]
     per_role = (
-        spells.dropna(subset=list(PAIR))
+        spells.where(" AND ".join(f"{name} IS NOT NULL" for name in PAIR))
         .groupBy(*PAIR, role)
         .agg(*(F.max(F.col("job_category") == c).alias(f) for f, c in zip(flags, categories)))
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.config import Study
 from spelltally.functions.numbers import zero_if_null
+from spelltally.operators import bitmaps
 from spelltally.operators import firms as firm_ops
 from spelltally.operators import postings as posting_ops
 from spelltally.operators import spells as spell_ops
@@ -63,6 +66,31 @@ def firm_and_focal_counts(tables, study: Study, firms: FirmUniverse) -> DataFram
     )
 
 
+def employee_state(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
+    """Employees at the snapshot as mergeable bitmaps, one per firm, country and bucket of ids."""
+    firms = firms or universe(tables, study)
+    positions = tables.frame("user_positions", *SPELL_DATES)
+
+    def state(rows: DataFrame) -> DataFrame:
+        return bitmaps.bitmap_state(spell_ops.active_spells(rows, study.snapshot), ("rcid",), "user_id")
+
+    return firms.keep_grouped(positions, state).join(firms.firms, "rcid")
+
+
+def employees_by_level(state: DataFrame) -> DataFrame:
+    """Distinct employees per firm, per country and over all, from one stored ``employee_state``.
+
+    Somebody employed by two firms counts once in each, and once in their country.
+    """
+    levels = (("firm", ("hq_country", "rcid")), ("country", ("hq_country",)), ("all", ()))
+    rows = []
+    for level, group in levels:
+        counts = bitmaps.id_counts(state, "employee_count", *group)
+        missing = [F.lit(None).cast(state.schema[name].dataType).alias(name) for name in ("hq_country", "rcid") if name not in group]
+        rows.append(counts.select(F.lit(level).alias("level"), "employee_count", *group, *missing))
+    return reduce(DataFrame.unionByName, rows).select("level", "hq_country", "rcid", "employee_count")
+
+
 def posting_keys(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
     sources = {
         board: tables.frame(name, "rcid", "job_id", "post_date") for board, name in BOARDS.items()

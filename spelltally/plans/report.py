@@ -69,12 +69,9 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
     focal = both.drop("employee_count")
     postings = stored("firm_posting_counts", firms.firm_posting_counts(tables, study, universe))
     sides = ("firm_employee_counts", "firm_posting_counts")
-    quality.enforce(
-        quality.check_one_to_one(employees, postings, "rcid", sides).unionByName(
-            quality.check_same_universe(employees, postings, "rcid", sides)
-        )
-    )
-    active = firm_ops.flag_active(firm_ops.join_firm_counts(employees, postings))
+    quality.enforce(quality.check_same_universe(employees, postings, "rcid", sides))
+    # The join itself fails on a firm that stands twice.
+    active = stored("active_firms", firm_ops.flag_active(firm_ops.join_firm_counts(employees, postings, validate=True)))
     save("firm_employee_counts", employees)
     save("firm_posting_counts", postings)
     save("firm_focal_counts", focal)

@@ -24,24 +24,23 @@ class SourceTable:
 COMPANY_REF = SourceTable(
     name="company_ref",
     key=("rcid",),
-    columns=tuple(
-        """
-        rcid company primary_name factset_entity_id year_founded ticker exchange_name sedol isin
-        cusip url naics_code cik lei linkedin_url child_rcid child_company child_linkedin_url
-        ultimate_parent_rcid ultimate_parent_rcid_name gvkey ein hq_street_address hq_zip_code
-        hq_city hq_metro_area hq_state hq_country hq_region rics_k50 rics_k200 rics_k400
-        """.split()
+    columns=(
+        "rcid", "company", "primary_name", "factset_entity_id", "year_founded", "ticker",
+        "exchange_name", "sedol", "isin", "cusip", "url", "naics_code", "cik", "lei",
+        "linkedin_url", "child_rcid", "child_company", "child_linkedin_url", "ultimate_parent_rcid",
+        "ultimate_parent_rcid_name", "gvkey", "ein", "hq_street_address", "hq_zip_code", "hq_city",
+        "hq_metro_area", "hq_state", "hq_country", "hq_region", "rics_k50", "rics_k200",
+        "rics_k400",
     ),
 )
 
-POSTING_COLUMNS = tuple(
-    """
-    job_id rcid company rics_k50 rics_k200 rics_k400 title_raw title_translated job_category
-    role_k50 role_k150 role_k300 role_k500 role_k1000 role_k1250 role_k1500 location_raw region
-    country state metro_area salary post_date remove_date ultimate_parent_rcid
-    ultimate_parent_company_name onet_code onet_title remote_type jobtitle description
-    salary_min salary_max salary_predicted
-    """.split()
+POSTING_COLUMNS = (
+    "job_id", "rcid", "company", "rics_k50", "rics_k200", "rics_k400", "title_raw",
+    "title_translated", "job_category", "role_k50", "role_k150", "role_k300", "role_k500",
+    "role_k1000", "role_k1250", "role_k1500", "location_raw", "region", "country", "state",
+    "metro_area", "salary", "post_date", "remove_date", "ultimate_parent_rcid",
+    "ultimate_parent_company_name", "onet_code", "onet_title", "remote_type", "jobtitle",
+    "description", "salary_min", "salary_max", "salary_predicted",
 )
 POSTINGS_LINKEDIN = SourceTable("postings_linkedin", ("job_id",), POSTING_COLUMNS)
 POSTINGS_INDEED = SourceTable("postings_indeed", ("job_id",), POSTING_COLUMNS)
@@ -49,29 +48,26 @@ POSTINGS_INDEED = SourceTable("postings_indeed", ("job_id",), POSTING_COLUMNS)
 USER_POSITIONS = SourceTable(
     name="user_positions",
     key=("position_id",),
-    columns=tuple(
-        """
-        user_id position_id company_raw company_linkedin_url company_cleaned rcid company_name
-        location_raw city msa metro_area state country region startdate enddate title_raw
-        job_category role_k50 role_k150 role_k300 role_k500 role_k1000 role_k1500
-        remote_suitability weight description start_salary end_salary salary seniority
-        position_number ultimate_parent_rcid ultimate_parent_company_name onet_code onet_title
-        ticker exchange cusip naics_code naics_description rics_k50 rics_k200 rics_k400
-        ultimate_parent_factset_id ultimate_parent_factset_name total_compensation
-        additional_compensation title_translated
-        """.split()
+    columns=(
+        "user_id", "position_id", "company_raw", "company_linkedin_url", "company_cleaned", "rcid",
+        "company_name", "location_raw", "city", "msa", "metro_area", "state", "country", "region",
+        "startdate", "enddate", "title_raw", "job_category", "role_k50", "role_k150", "role_k300",
+        "role_k500", "role_k1000", "role_k1500", "remote_suitability", "weight", "description",
+        "start_salary", "end_salary", "salary", "seniority", "position_number",
+        "ultimate_parent_rcid", "ultimate_parent_company_name", "onet_code", "onet_title", "ticker",
+        "exchange", "cusip", "naics_code", "naics_description", "rics_k50", "rics_k200",
+        "rics_k400", "ultimate_parent_factset_id", "ultimate_parent_factset_name",
+        "total_compensation", "additional_compensation", "title_translated",
     ),
 )
 
 USER_EDUCATION = SourceTable(
     name="user_education",
     key=("user_id", "education_number"),
-    columns=tuple(
-        """
-        user_id university_raw university_name rsid education_number startdate enddate degree
-        field degree_raw field_raw university_country university_location
-        ultimate_parent_school_name ultimate_parent_rsid description
-        """.split()
+    columns=(
+        "user_id", "university_raw", "university_name", "rsid", "education_number", "startdate",
+        "enddate", "degree", "field", "degree_raw", "field_raw", "university_country",
+        "university_location", "ultimate_parent_school_name", "ultimate_parent_rsid", "description",
     ),
 )
 
@@ -84,13 +80,11 @@ USER_AGE = SourceTable(
 USER_DEMOGRAPHY = SourceTable(
     name="user_demography",
     key=("user_id",),
-    columns=tuple(
-        """
-        user_id firstname lastname fullname f_prob m_prob white_prob black_prob api_prob
-        hispanic_prob native_prob multiple_prob prestige highest_degree sex_predicted
-        ethnicity_predicted user_location user_country profile_title updated_dt numconnections
-        profile_summary
-        """.split()
+    columns=(
+        "user_id", "firstname", "lastname", "fullname", "f_prob", "m_prob", "white_prob",
+        "black_prob", "api_prob", "hispanic_prob", "native_prob", "multiple_prob", "prestige",
+        "highest_degree", "sex_predicted", "ethnicity_predicted", "user_location", "user_country",
+        "profile_title", "updated_dt", "numconnections", "profile_summary",
     ),
 )
 

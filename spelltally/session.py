@@ -1,4 +1,4 @@
-"""Session settings the plans count on; all but the time zone are Spark's own defaults."""
+"""Session settings the plans count on."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Facts joined by shuffle with many firm ids pass a Bloom filter of the ids first.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
 }
 
 

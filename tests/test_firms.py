@@ -3,6 +3,7 @@ from frames import MemoryTables, rows_of
 from pyspark.sql import functions as F
 
 from spelltally.config import BIOPHARM
+from spelltally.operators import bitmaps
 from spelltally.operators import firms as firm_ops
 from spelltally.operators.dedup import one_row_per_key, smallest_per_key
 from spelltally.operators.firms import FirmUniverse
@@ -255,3 +256,84 @@ def test_hot_firm_is_split_in_the_shuffle_join(spark):
     kept = firm_ops.FirmUniverse(ids, ids, broadcast_rows=0).keep(facts)
     assert len(kept.collect()) == 60_000
     assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_count_as_distinct_counts_do(spark):
+    ids = [0, 1, -1, 32767, 32768, 32769, -32768, -32769, 2**40, 2**62, -(2**62), None, 5, 5]
+    rows = [(k, i) for k in range(3) for i in ids[k:]] + [(None, 7), (None, None), (9, None)]
+    frame = spark.createDataFrame(rows, "k long, id long").repartition(4)
+    state = bitmaps.bitmap_state(frame, ("k",), "id")
+    wanted = frame.groupBy("k").agg(F.count_distinct("id").alias("n")).where("n > 0")
+    assert rows_of(bitmaps.id_counts(state, "n", "k")) == rows_of(wanted)
+    assert rows_of(bitmaps.id_counts(state, "n")) == rows_of(frame.agg(F.count_distinct("id")))
+    assert rows_of(bitmaps.id_counts(bitmaps.bitmap_state(frame.limit(0), ("k",), "id"), "n")) == [(0,)]
+
+
+def test_employees_by_level_count_people_once(spark, tmp_path):
+    """User 10 works for two firms of one country: twice by firm, once by country."""
+    given = tables(spark)
+    given.rows["user_positions"] = POSITIONS + [(11, 10, 4, "2020-01-01", None, "Admin", "clerk")]
+    made = rows_of(firms.employees_by_level(firms.employee_state(given, BIOPHARM)))
+    assert made == [("all", None, None, 3), ("country", "Peru", None, 3), ("firm", "Peru", 1, 2), ("firm", "Peru", 4, 2)]
+
+
+def test_a_join_fails_on_a_firm_that_stands_twice(spark):
+    left = spark.createDataFrame([(1, "Peru", 2), (2, "Peru", 3)], "rcid long, hq_country string, employee_count long")
+    right = spark.createDataFrame([(1, "Peru", 5), (2, "Peru", 0)], "rcid long, hq_country string, posting_count long")
+    assert rows_of(firm_ops.join_firm_counts(left, right, validate=True)) == rows_of(firm_ops.join_firm_counts(left, right))
+    for sides, subject in (((left.union(left.limit(1)), right), "left"), ((left, right.union(right.limit(1))), "right")):
+        assert firm_ops.join_firm_counts(*sides).count() == 3
+        with pytest.raises(Exception, match=f"one_to_one of {subject}: rcid 1 is repeated"):
+            firm_ops.join_firm_counts(*sides, validate=True).collect()
+    universe = FirmUniverse(left.select("rcid", "hq_country"), left.select("rcid"))
+    with pytest.raises(Exception, match="one_to_one of n"):
+        universe.with_counts(spark.createDataFrame([(1, 1), (1, 2)], "rcid long, n long"), "n", validate=True).collect()
+
+
+def shuffled_records(frame):
+    """Records that each exchange of the executed plan wrote, after a collect."""
+    found = []
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(plan.plan())
+        if name == "Exchange":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        children = plan.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    frame.collect()
+    walk(frame._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_many_ids_filter_facts_before_the_shuffle(spark, tmp_path):
+    """Above the bound of a broadcast, a Bloom filter of the ids drops other facts ahead of the exchange."""
+    spark.range(20_000).selectExpr("id AS rcid", f"IF(id % 100 = 0, '{PHARMA}', 'Retail') AS rics_k400").write.parquet(f"{tmp_path}/c")
+    spark.range(100_000).selectExpr("id % 20000 AS rcid", "id AS x").write.parquet(f"{tmp_path}/f")
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    settings = {
+        f"{prefix}.applicationSideScanSizeThreshold": "0", f"{prefix}.creationSideThreshold": "256MB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {name: spark.conf.get(name) for name in (*settings, f"{prefix}.enabled")}
+    records, rows = {}, {}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for on in ("true", "false"):
+            spark.conf.set(f"{prefix}.enabled", on)
+            ids = firm_ops.in_industries(spark.read.parquet(f"{tmp_path}/c"), (PHARMA,)).select("rcid")
+            kept = FirmUniverse(ids, ids, broadcast_rows=0).keep(spark.read.parquet(f"{tmp_path}/f"))
+            assert ("might_contain" in kept._jdf.queryExecution().optimizedPlan().toString()) == (on == "true")
+            rows[on] = rows_of(kept)
+            records[on] = max(shuffled_records(kept))
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert rows["true"] == rows["false"] and len(rows["true"]) == 1000
+    assert records["false"] == 100_000 and records["true"] < 10_000
