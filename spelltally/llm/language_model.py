@@ -29,6 +29,8 @@ FOLDS, HELD_OUT = 7, 2
 # Of the training texts, one in so many is predicted from the others to learn the weights.
 DELETED = 10
 PORTION_TOKENS = 2_000_000
+# Tokens of a portion that are scored at once.
+SCORED_TOKENS = 250_000
 # Least number of counting groups, and groups per input partition: a group's memory stays bounded.
 LEAST_GROUPS, GROUPS_PER_PARTITION = 96, 3
 END = b""
@@ -123,13 +125,13 @@ def portions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, Porti
 
     known, texts, parts, ids, size = {END: 0}, [], [], [], 0
     for batch in batches:
-        for key, text, part in zip(batch["doc_id"].tolist(), batch["text"], batch["part"]):
+        for key, text, part in zip(batch["doc_id"], batch["text"], batch["part"]):
             words = (text or "").encode("utf-8", "replace").lower().split()
             texts.append(
                 np.fromiter((known.setdefault(w, len(known)) for w in (*words, END)), dtype=np.uint32, count=len(words) + 1)
             )
             parts.append(part)
-            ids.append(None if key is None or key != key else key)
+            ids.append(key)
             size += len(words) + 1
             if size >= PORTION_TOKENS:
                 made = closed()
@@ -226,43 +228,53 @@ def _joined(portion_rows: pd.DataFrame, answers: pd.DataFrame, groups: int) -> p
     )
 
 
-def _scored(rows: pd.DataFrame, table: np.ndarray, tokens: float, types: float) -> Iterator[pd.DataFrame]:
-    for row in rows.itertuples(index=False):
-        portion = Portion.of(row).paired()
-        counts = unpacked(row.counts, np.uint32).astype(np.float64)
-        words, pairs = counts[: len(portion.hashes)], counts[len(portion.hashes) :]
-        word, context = words[portion.tokens], words[portion.before]
+def _scored(row, table: np.ndarray, tokens: float, types: float) -> Iterator[pd.DataFrame]:
+    """The scores of a portion, some texts at a time; what is held besides its n-grams stays small."""
+    portion = Portion.of(row).paired()
+    counts = unpacked(row.counts, np.uint32)
+    words, pairs = counts[: len(portion.hashes)], counts[len(portion.hashes) :]
+    portion.keys = portion.hashes = counts = None
+    first, ids = 0, list(row.ids)
+    while first < len(ids):
+        ends = np.cumsum(portion.lengths[first:])
+        last = first + max(1, int(np.searchsorted(ends, SCORED_TOKENS, side="right")))
+        starts = portion.starts[first:last]
+        own = slice(starts[0], starts[0] + ends[last - first - 1])
+        word, context = words[portion.tokens[own]].astype(np.float64), words[portion.before[own]]
         weights = table[context_bucket(context)]
-        chance = (
-            weights[:, 0] * pairs[portion.pair_of] / np.maximum(context, 1)
-            + weights[:, 1] * word / max(tokens, 1)
-            + weights[:, 2] / (types + 1)
-        )
-        base = np.log10((word + 1) / (tokens + types + 1))
+        chance = weights[:, 0] * pairs[portion.pair_of[own]] / np.maximum(context, 1)
+        chance += weights[:, 1] * word / max(tokens, 1) + weights[:, 2] / (types + 1)
         yield pd.DataFrame(
             {
-                "doc_id": pd.Series(list(row.ids), dtype=object),
-                "held_out": portion.parts == 2,
-                "n_tokens": portion.lengths,
-                "n_known": np.add.reduceat((word > 0).astype(np.int64), portion.starts),
+                "doc_id": pd.Series(ids[first:last], dtype=object),
+                "held_out": portion.parts[first:last] == 2,
+                "n_tokens": portion.lengths[first:last],
+                "n_known": np.add.reduceat((word > 0).astype(np.int64), starts - starts[0]),
                 "train_tokens": int(tokens),
-                "base_score": np.add.reduceat(base, portion.starts),
-                "score": np.add.reduceat(np.log10(chance), portion.starts),
+                "base_score": np.add.reduceat(np.log10((word + 1) / (tokens + types + 1)), starts - starts[0]),
+                "score": np.add.reduceat(np.log10(chance), starts - starts[0]),
             }
         )
+        first = last
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, settled: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each text.
 
+    Texts are read twice and must come in the same order both times. ``settled`` says that
+    they do, as a table read from files does; any other frame is stored first.
+
     Learns from texts outside the held-out fold of ``doc_id``. A null text is an empty one,
     which has one token, its end. Repeated rows are texts of their own. Other columns are
     not looked at. Without training texts every word is unknown; an empty input gives an
-    empty result. Words and pairs are told apart by 64-bit hashes. Ids are whole numbers.
+    empty result. Words and pairs are told apart by 64-bit hashes. Ids may be of any type that
+    a cast to text and back leaves as it is.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     part = F.when(fold("doc_id", FOLDS) == HELD_OUT, 2).otherwise((fold("doc_id", FOLDS * DELETED) % DELETED == 0).cast("int"))
-    texts = docs.select("doc_id", "text", part.alias("part"))
+    # Ids travel as text: beside a null, pandas would round large numbers.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", part.alias("part"))
+    texts = texts if settled else stored(texts, "language-texts")
     groups = max(LEAST_GROUPS, GROUPS_PER_PARTITION * texts.rdd.getNumPartitions())
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,13 +299,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
         .groupBy("group")
         .applyInPandas(_counted, "portion long, group int, counted binary, deleted binary, numbers array<double>")
     )
-    whole = texts.mapInPandas(kept, f"portion long, ids array<{key}>, {body}")
+    whole = texts.mapInPandas(kept, f"portion long, ids array<string>, {body}")
     joined = stored(
         whole.groupBy("portion")
         .cogroup(answers.groupBy("portion"))
         .applyInPandas(
             lambda a, b: _joined(a, b, groups),
-            f"ids array<{key}>, {body}, counts binary, cell array<long>, seen array<long>, numbers array<double>",
+            f"ids array<string>, {body}, counts binary, cell array<long>, seen array<long>, numbers array<double>",
         ),
         "language-model",
     )
@@ -307,9 +319,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield from _scored(rows, table, tokens, types)
+            for row in rows.itertuples(index=False):
+                yield from _scored(row, table, tokens, types)
 
-    return joined.where("tokens IS NOT NULL").select("ids", "tokens", "lengths", "parts", "hashes", "counts").mapInPandas(
+    scores = joined.where("tokens IS NOT NULL").select("ids", "tokens", "lengths", "parts", "hashes", "counts").mapInPandas(
         scored,
-        f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return scores.withColumn("doc_id", F.col("doc_id").cast(key))

@@ -63,7 +63,7 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return language_model.score_texts(table(spark, folder, "documents", "doc_id", "text"))
+    return language_model.score_texts(table(spark, folder, "documents", "doc_id", "text"), settled=True)
 
 
 def mixed(spark: SparkSession, folder: str) -> DataFrame:
