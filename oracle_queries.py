@@ -398,12 +398,12 @@ SELECTS = {
         ]
     ),
     "sample_random": f"""
-        SELECT {SPELL} FROM user_positions ORDER BY {digest(SPELL, 2022)}
+        SELECT {SPELL} FROM user_positions ORDER BY {digest('position_id', 2022)}, {digest(SPELL, 2022)}
         LIMIT {STUDY.sample_size}""",
-    "sample_random_age": f"SELECT {AGE} FROM user_age ORDER BY {digest(AGE, 2022)} LIMIT {STUDY.sample_size}",
+    "sample_random_age": f"SELECT {AGE} FROM user_age ORDER BY {digest('user_id', 2022)}, {digest(AGE, 2022)} LIMIT {STUDY.sample_size}",
     "sample_random_demography": f"""
         SELECT user_id, fullname, round(f_prob, 6) AS f_prob, round(prestige, 6) AS prestige, user_country
-        FROM (SELECT * FROM user_demography ORDER BY {digest(DEMOGRAPHY, 2022)} LIMIT {STUDY.sample_size})""",
+        FROM (SELECT * FROM user_demography ORDER BY {digest('user_id', 2022)}, {digest(DEMOGRAPHY, 2022)} LIMIT {STUDY.sample_size})""",
     "sample_limit_check": f"""
         SELECT least({STUDY.sample_size}, count(*)) AS sample_rows, 0::BIGINT AS strange_rows
         FROM user_positions""",

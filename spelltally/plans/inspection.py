@@ -23,7 +23,7 @@ def sample(tables, name: str, number: int = 1000, seed: int = 2022) -> DataFrame
     """Rows to look at, validated columns only."""
     table = SOURCE_TABLES[name].project(tables.frame(name))
     if name in RANDOMLY_SAMPLED:
-        return samples.random_rows(table, number, seed)
+        return samples.hashed_rows(table, number, seed, SOURCE_TABLES[name].key)
     return samples.first_rows(table, number)
 
 

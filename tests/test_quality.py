@@ -118,13 +118,22 @@ def test_profile_table(spark):
 def test_samples(spark):
     frame = spark.range(100).selectExpr("id", "CASE WHEN id % 2 = 0 THEN id END AS half")
     assert samples.first_rows(frame, 10).count() == 10
-    assert samples.random_rows(frame, 10, 1).count() == 10
     drawn = rows_of(samples.hashed_rows(frame, 10, 1))
     assert drawn == rows_of(samples.hashed_rows(frame.repartition(7), 10, 1))
     assert drawn != rows_of(samples.hashed_rows(frame, 10, 2))
     assert len(rows_of(samples.hashed_rows(frame, 1000, 1))) == 100
 
 
+def test_draws_of_a_large_table(spark):
+    """A bound on the digest ranks few rows and changes none; with few keys all rows are ranked."""
+    frame = spark.range(20_000).selectExpr("id", "id % 3 AS third", "id % 7 AS x")
+    for key in (("id",), ("third",), ()):
+        drawn = rows_of(samples.hashed_rows(frame, 50, 3, key))
+        digest = samples._digest(list(key or frame.columns), 3)
+        assert drawn == rows_of(frame.orderBy(digest, samples._digest(frame.columns, 3)).limit(50))
+        assert drawn == rows_of(samples.hashed_rows(frame.repartition(9, "x"), 50, 3, key))
+
+
 def test_digest_tells_rows_apart(spark):
     rows = [(None, "a"), ("~", "a"), ("a|b", "c"), ("a", "b|c"), ("", "a"), ("-", "a")]
     frame = spark.createDataFrame(rows, "x string, y string")

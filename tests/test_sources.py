@@ -52,6 +52,31 @@ def test_table_overwrite_replaces_rows_and_schema(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_a_failing_write_leaves_the_old_rows(spark, tmp_path):
+    broken = spark.range(0, 100, 1, 4).selectExpr("IF(id > 60, raise_error('broken'), id) AS id")
+    name, path = scratch.scratch_table(spark, "t"), str(tmp_path / "t")
+    sinks.write_table(spark.range(3), name)
+    sinks.write_parquet(spark.range(3), path)
+    sinks.write_csv(spark.range(3), path + "_csv")
+    for write, place in ((sinks.write_table, name), (sinks.write_parquet, path), (sinks.write_csv, path + "_csv")):
+        with pytest.raises(Exception, match="broken"):
+            write(broken, place)
+    assert spark.read.table(name).count() == spark.read.parquet(path).count() == 3
+    assert scans.scan_csv(spark, path + "_csv", "id long").count() == 3
+    assert sorted(os.listdir(tmp_path)) == ["t", "t_csv"]
+    # A frame may replace what it reads.
+    assert sinks.write_parquet(spark.read.parquet(path).selectExpr("id + 1 AS id"), path).agg({"id": "sum"}).first()[0] == 6
+    assert sinks.write_table(spark.read.table(name).selectExpr("id + 1 AS id"), name).agg({"id": "sum"}).first()[0] == 6
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_csv_files_are_bounded(spark, tmp_path):
+    frame = spark.range(0, 250, 1, 1)
+    sinks.write_csv(frame, str(tmp_path / "csv"), rows_per_file=100)
+    assert len(files(tmp_path / "csv", ".csv")) == 3
+    assert rows_of(scans.scan_csv(spark, str(tmp_path / "csv"), "id long")) == rows_of(frame)
+
+
 def test_single_part_is_one_file(spark, tmp_path):
     frame = spark.range(0, 100, 1, 4)
     sinks.write_parquet(frame, str(tmp_path / "many"))
