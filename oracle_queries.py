@@ -340,6 +340,7 @@ SELECTS = {
     "truncated_histogram": histogram("employees", "employee_count"),
     "focal_histogram": histogram("focal_employees", "focal_employee_count"),
     "primary_roles": "SELECT * FROM primaries",
+    "primary_roles_by_number": "SELECT * FROM primaries",
     "overlap_counts": "SELECT * FROM role_overlaps",
     "role_selection_diagnostics": """
         SELECT metric, value, CASE WHEN metric <> 'active_focal_position_rows'

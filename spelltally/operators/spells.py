@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.functions.dates import active_at, parse_date, parse_date_trimmed
@@ -10,6 +10,11 @@ from spelltally.functions.text import label_or_missing
 from spelltally.operators.dedup import nulls_last
 
 PAIR = ("user_id", "rcid")
+# A pick as one number: days back from the last readable one, category code, role code. The
+# highest code of each part stands for null.
+DAY_BITS, CATEGORY_BITS, ROLE_BITS = 18, 12, 32
+LAST_DAY = 106_751
+ROLE_CODES = 1 << 20
 
 
 def of_categories(frame: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -76,6 +81,74 @@ def primary_spells(spells: DataFrame, role: str) -> DataFrame:
     )
 
 
+def role_dictionary(spells: DataFrame, role: str, most: int = ROLE_CODES) -> DataFrame | None:
+    """Roles and their places in text order, to be sent out; none beyond ``most`` roles.
+
+    The taxonomy has about 1,500.
+    """
+    names = spells.where(F.col(role).isNotNull()).select(role).distinct().orderBy(role).limit(most + 1).collect()
+    if len(names) > most:
+        return None
+    return spells.sparkSession.createDataFrame([(name[0], i) for i, name in enumerate(names)], f"{role} string, _role_code long")
+
+
+def _coded(spells: DataFrame, role: str, categories: tuple[str, ...], dictionary: DataFrame) -> DataFrame:
+    """Spells with ``_category_code``, ``_role_code`` and ``_packed``, whose order is that of :func:`_first_choice`."""
+    names = F.array(*map(F.lit, sorted(categories, key=str.encode)))
+    category = F.array_position(names, F.col("job_category")) - 1
+
+    def or_last(code: Column, bits: int) -> Column:
+        return F.coalesce(code.cast("long"), F.lit((1 << bits) - 1))
+
+    back = or_last(F.lit(LAST_DAY) - F.unix_date("startdate"), DAY_BITS)
+    packed = F.shiftleft(back, CATEGORY_BITS + ROLE_BITS)
+    packed = packed + F.shiftleft(or_last(F.col("_category_code"), CATEGORY_BITS), ROLE_BITS) + or_last(F.col("_role_code"), ROLE_BITS)
+    coded = spells.join(F.broadcast(dictionary), role, "left").withColumn("_category_code", category)
+    return coded.withColumn("_packed", packed)
+
+
+def _unpacked(picks: DataFrame, role: str, categories: tuple[str, ...], dictionary: DataFrame) -> DataFrame:
+    """Picks with startdate, job_category and the role in place of ``_packed``."""
+    names = F.array(*map(F.lit, sorted(categories, key=str.encode)))
+    back = F.shiftright("_packed", CATEGORY_BITS + ROLE_BITS)
+    place = F.shiftright("_packed", ROLE_BITS).bitwiseAND((1 << CATEGORY_BITS) - 1).cast("int")
+    day = F.when(back < (1 << DAY_BITS) - 1, F.date_from_unix_date((F.lit(LAST_DAY) - back).cast("int")))
+    return (
+        picks.withColumn("_role_code", F.col("_packed").bitwiseAND((1 << ROLE_BITS) - 1))
+        .join(F.broadcast(dictionary), "_role_code", "left")
+        .withColumns({"startdate": day, "job_category": F.get(names, place)})
+        .drop("_role_code", "_packed")
+    )
+
+
+def primary_spells_by_number(spells: DataFrame, role: str, categories: tuple[str, ...], dictionary: DataFrame) -> DataFrame:
+    """:func:`primary_spells` of spells in the categories, picked as numbers: a hash aggregate, nothing is sorted."""
+    picks = _coded(spells, role, categories, dictionary).groupBy(*PAIR).agg(F.min("_packed").alias("_packed"))
+    return _unpacked(picks, role, categories, dictionary).select(*PAIR, "startdate", "job_category", role)
+
+
+def pair_summary_by_number(spells: DataFrame, role: str, categories: tuple[str, ...], dictionary: DataFrame) -> DataFrame:
+    """:func:`pair_summary` of spells in the categories, by numbers."""
+    known = F.col("user_id").isNotNull() & F.col("rcid").isNotNull()
+    several = {"several_roles": "_role_code", "several_categories": "_category_code"}
+    picks = (
+        _coded(spells, role, categories, dictionary)
+        .groupBy(*PAIR)
+        .agg(
+            F.count(F.lit(1)).alias("spell_rows"),
+            F.min("_packed").alias("_packed"),
+            *((F.min(code) != F.max(code)).alias(name) for name, code in several.items()),
+        )
+    )
+    return _unpacked(picks, role, categories, dictionary).select(
+        *PAIR,
+        "spell_rows",
+        F.col("job_category").alias("primary_category"),
+        F.col(role).alias("primary_role"),
+        *((known & F.col(name)).alias(name) for name in several),
+    )
+
+
 def overlap_counts(spells: DataFrame, role: str, categories: tuple[str, ...]) -> DataFrame:
     """Distinct roles, and how many of the categories occur, per pair with known user and firm.
 

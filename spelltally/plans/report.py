@@ -90,7 +90,7 @@ def _write_results(tables, study: Study, universe: FirmUniverse, folder: str) ->
             size_ops.truncated_histogram(sizes, name, study.truncation_quantile),
         )
 
-    pairs = stored("pair_summary", roles.pair_summary(tables, study, universe))
+    pairs = stored("pair_summary", roles.pair_summary_by_number(tables, study, universe))
     primary = pairs.select(
         F.col("primary_category").alias("job_category"), F.col("primary_role").alias(study.role)
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spelltally.config import Study
+from spelltally.functions.text import label_or_missing
 from spelltally.operators import roles as role_ops
 from spelltally.operators import spells as spell_ops
 from spelltally.operators.firms import FirmUniverse
@@ -31,10 +33,35 @@ def _per_pair(
     return (firms or universe(tables, study)).keep_grouped(positions, grouped)
 
 
+def _dictionary(tables, study: Study) -> DataFrame | None:
+    names = tables.frame("user_positions", study.role).select(label_or_missing(F.col(study.role)).alias(study.role))
+    return spell_ops.role_dictionary(names, study.role)
+
+
 def primary_roles(tables, study: Study) -> DataFrame:
     return _per_pair(tables, study, spell_ops.primary_spells)
 
 
+def primary_roles_by_number(tables, study: Study) -> DataFrame:
+    """:func:`primary_roles` by role codes; one more scan of the roles, and no sort."""
+    codes = _dictionary(tables, study)
+    if codes is None:
+        return primary_roles(tables, study)
+    return _per_pair(
+        tables, study, lambda rows, role: spell_ops.primary_spells_by_number(rows, role, study.categories, codes)
+    )
+
+
+def pair_summary_by_number(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
+    """:func:`pair_summary` by role codes."""
+    codes = _dictionary(tables, study)
+    if codes is None:
+        return pair_summary(tables, study, firms)
+    return _per_pair(
+        tables, study, lambda rows, role: spell_ops.pair_summary_by_number(rows, role, study.categories, codes), firms
+    )
+
+
 def overlap_counts(tables, study: Study) -> DataFrame:
     return _per_pair(
         tables, study, lambda rows, role: spell_ops.overlap_counts(rows, role, study.categories)

@@ -138,3 +138,25 @@ def test_empty_sample_has_no_rows(spark):
     empty = roles.role_composition(spark.createDataFrame([], SPELLS), "role", "All")
     assert empty.count() == 0
     assert roles.role_concentration(empty).count() == 0
+
+
+def test_picks_by_number_are_those_by_text(spark):
+    """Nulls in every part, ties, far dates, names in byte order, a hot pair."""
+    rng = random.Random(4)
+    names, categories = ["b", "a", "é", "Z", "zz", ""], ("Scientist", "Engineer")
+    days = [None, "1677-09-22", "2262-04-11", "2020-01-01", "2020-01-02", "1969-12-31"]
+    rows = [
+        (rng.choice([None, 1, 2, 3]), rng.choice([None, 7, 8]), rng.choice(days), rng.choice([None, *categories]), rng.choice([None, *names]))
+        for _ in range(600)
+    ]
+    given = spark.createDataFrame(rows, "user_id long, rcid long, d string, job_category string, r string").selectExpr(
+        "user_id", "rcid", "CAST(d AS DATE) AS startdate", "job_category", "r"
+    )
+    codes = spells.role_dictionary(given, "r")
+    made = spells.primary_spells_by_number(given, "r", categories, codes)
+    assert rows_of(made) == rows_of(spells.primary_spells(given, "r"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    summary = spells.pair_summary_by_number(given, "r", categories, codes)
+    assert rows_of(summary) == rows_of(spells.pair_summary(given, "r"))
+    assert spells.role_dictionary(given, "r", most=3) is None
