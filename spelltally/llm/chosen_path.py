@@ -110,7 +110,8 @@ def _children(units: DataFrame, share: float):
 def _marked(members: DataFrame, units: DataFrame, first: int, last: int, share: float) -> DataFrame:
     """Members (node, side, code, label) that have a likely partner with another label.
 
-    A pair that shares several root tokens is marked at the first of them whose node is small.
+    A pair that shares several root tokens is marked at the first of them whose node is small. What
+    hangs together by such pairs makes a node of its own.
     """
     small = F.col("at") >= 0
     by_code = members.groupBy("code", "label").agg(
@@ -130,7 +131,7 @@ def _marked(members: DataFrame, units: DataFrame, first: int, last: int, share:
             small = (frame["small"].to_numpy()[:, None] >> places & 1).astype(bool) & (places < at[:, None])
             starts = node_starts(node)
             until = np.repeat(starts[1:], np.diff(starts))
-            mark = np.zeros(len(frame), dtype=bool)
+            left, right = [], []
             a, step = np.arange(len(frame)), 0
             while len(a):
                 step += 1
@@ -139,8 +140,13 @@ def _marked(members: DataFrame, units: DataFrame, first: int, last: int, share:
                 x = x[np.minimum(size[x], size[x + step]) >= share * np.maximum(size[x], size[x + step]) - 1e-9]
                 x = x[np.count_nonzero(tokens[x] == tokens[x + step], axis=1) >= LEAST_SAME]
                 x = x[~((roots[x] == roots[x + step]) & small[x]).any(axis=1)]
-                mark[x] = mark[x + step] = True
-            yield frame.loc[mark, ["node", "side", "code", "label"]]
+                left.append(x)
+                right.append(x + step)
+            a, b = np.concatenate(left), np.concatenate(right)
+            found = np.unique(np.concatenate([a, b]))
+            if len(found):
+                frame["node"] = overlap.cluster_nodes(node, frame["code"].to_numpy(), a, b)
+                yield frame.loc[found, ["node", "side", "code", "label"]]
 
     return stored(
         rows.repartition("node").sortWithinPartitions("node", "code").mapInPandas(compared, "node long, side int, code long, label long"),

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spelltally.llm.common import node_starts, stored, whole, whole_nodes
-from spelltally.llm.simhash import shingle_hashes
+from spelltally.llm.simhash import mixed, shingle_hashes
 
 # Rows of a node up to which its texts are compared with each other.
-LIMIT = 128
+LIMIT = 1024
 # Texts are looked up by id and hashes after a first cut by this many buckets, which bounds what is sent out.
 LOOKUP_BUCKETS = 1 << 20
 SEED = 42
@@ -92,6 +92,21 @@ def _together(members: list[DataFrame]) -> DataFrame:
     return out
 
 
+def cluster_nodes(node: np.ndarray, code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Nodes of what hangs together by the pairs (a, b) of places, each within one node."""
+    least = np.arange(len(node))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+        if np.array_equal(before, least):
+            break
+    with np.errstate(over="ignore"):
+        return mixed(node.view(np.uint64) + mixed(code.view(np.uint64)[least])).view(np.int64)
+
+
 def sets_of(docs: DataFrame, units: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """code and ``hashes`` (sorted, packed) of the wanted codes, from one text of each.
 

@@ -67,8 +67,9 @@ def test_every_size_against_brute_force(spark):
     assert components_of(spark, texts) == plain_components(texts)
 
 
-def test_a_mass_of_copies_and_a_common_passage(spark):
+def test_a_mass_of_copies_and_a_common_passage(spark, monkeypatch):
     """Nodes far above the limit: one group of 700 edited copies, and a passage in 600 other texts."""
+    monkeypatch.setattr(overlap, "LIMIT", 128)
     rng = np.random.default_rng(11)
     base = [f"b{i}" for i in range(150)]
     texts = [" ".join(edited(base, rng.choice(150, rng.integers(0, 8), replace=False), rng)) for _ in range(700)]
