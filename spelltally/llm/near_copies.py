@@ -32,11 +32,11 @@ BITS, WORDS, SEED = 64, 4, 42
 # average at a likeness of 0.8, and seldom (3 in 10,000) more than ``WIDE``.
 WIDE, RECALL = 58, 0.998
 # Texts that share the bits of a mask by chance, about; masks that link what is most alike first.
-CODES_PER_MASK, FIRST_MASKS = 8, 6
+CODES_PER_MASK, FIRST_MASKS = 256, 6
 # Sets up to this size find each other by prefixes.
 SMALL_SET = 20
 # Rows of a node that are compared pair by pair; rows up to which a node stays in one task.
-FEW, LIMIT = 64, 1024
+FEW, LIMIT = 64, 4096
 # One row in so many tells which nodes are larger.
 SAMPLED = 16
 NAMES = [f"w{i}" for i in range(WORDS)]
@@ -121,60 +121,67 @@ def gray_order(words: np.ndarray) -> np.ndarray:
 def gray_pairs(words: np.ndarray, label: np.ndarray, bound: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that differ in at most ``bound`` bits and have different labels.
 
-    Level 0 holds the codes in Gray order, each level above what ``FANOUT`` nodes share: the bits
-    set in all, the bits set in some, the smallest and the largest label.
+    The codes stand in Gray order in leaves of ``FANOUT``. A leaf, and each node above, knows
+    what its codes share: the bits set in all, the bits set in some, the smallest and the largest
+    label. Codes of two leaves are compared when no node above has pruned the pair.
     """
-    order = gray_order(words)
-    levels = [(words[order], words[order], label[order], label[order])]
-    while len(levels[-1][0]) > 1:
-        starts = np.arange(0, len(levels[-1][0]), FANOUT)
+    number, order = len(words), gray_order(words)
+    leaves = -(-number // FANOUT)
+    # The last leaf is filled up with its last code.
+    filled = np.r_[order, np.full(leaves * FANOUT - number, order[-1])]
+    codes = [column.reshape(leaves, FANOUT) for column in np.ascontiguousarray(words[filled].T)]
+    labels, real = label[filled].reshape(leaves, FANOUT), (np.arange(len(filled)) < number).reshape(leaves, FANOUT)
+    levels = [
+        (
+            [np.bitwise_and.reduce(c, axis=1) for c in codes], [np.bitwise_or.reduce(c, axis=1) for c in codes],
+            labels.min(axis=1), labels.max(axis=1),
+        )
+    ]
+    while len(levels[-1][2]) > 1:
         every, some, least, most = levels[-1]
+        starts = np.arange(0, len(least), FANOUT)
         levels.append(
             (
-                np.bitwise_and.reduceat(every, starts), np.bitwise_or.reduceat(some, starts),
+                [np.bitwise_and.reduceat(c, starts) for c in every], [np.bitwise_or.reduceat(c, starts) for c in some],
                 np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts),
             )
         )
     step = np.arange(FANOUT)
+    upper = step[:, None] < step
     first = np.zeros(1, dtype=np.int64)
     todo, left, right = [(len(levels) - 1, first, first)], [], []
     while todo:
         level, a, b = todo.pop()
-        if len(a) > SLICE:
-            todo += [(level, a[i : i + SLICE], b[i : i + SLICE]) for i in range(0, len(a), SLICE)]
+        if len(a) > SLICE // FANOUT**2:
+            size = SLICE // FANOUT**2
+            todo += [(level, a[i : i + size], b[i : i + size]) for i in range(0, len(a), size)]
             continue
         every, some, least, most = levels[level]
-        linked = (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
-        a, b = a[~linked], b[~linked]
-        shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])
-        near = np.bitwise_count((every[a] ^ every[b]) & shared).sum(axis=1, dtype=np.int64) <= bound
-        a, b = a[near], b[near]
-        if not level:
-            left.append(order[a])
-            right.append(order[b])
-        elif len(a):
+        open_ = (least[a] != most[a]) | (least[b] != most[b]) | (least[a] != least[b])
+        a, b = a[open_], b[open_]
+        apart = np.zeros(len(a), dtype=np.uint16)
+        for e, s in zip(every, some):
+            apart += np.bitwise_count((e[a] ^ e[b]) & ~(e[a] ^ s[a]) & ~(e[b] ^ s[b]))
+        a, b = a[apart <= bound], b[apart <= bound]
+        if level:
             x = (a[:, None, None] * FANOUT + step[:, None] + 0 * step).ravel()
             y = (b[:, None, None] * FANOUT + 0 * step[:, None] + step).ravel()
-            number = len(levels[level - 1][0])
-            there = (x < number) & (y < number) & ((x < y) if level == 1 else (x <= y))
+            there = (y < len(levels[level - 1][2])) & (x <= y)
             todo.append((level - 1, x[there], y[there]))
+        elif len(a):
+            apart = np.zeros((len(a), FANOUT, FANOUT), dtype=np.uint16)
+            for c in codes:
+                apart += np.bitwise_count(c[a][:, :, None] ^ c[b][:, None, :])
+            near = (apart <= bound) & (labels[a][:, :, None] != labels[b][:, None, :])
+            near &= real[a][:, :, None] & real[b][:, None, :]
+            near[a == b] &= upper
+            pair, i, j = np.nonzero(near)
+            left.append(order[a[pair] * FANOUT + i])
+            right.append(order[b[pair] * FANOUT + j])
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _clusters(number: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each place the smallest that pairs connect it with."""
-    least = np.arange(number)
-    while True:
-        before = least.copy()
-        low = np.minimum(least[a], least[b])
-        np.minimum.at(least, a, low)
-        np.minimum.at(least, b, low)
-        least = least[least]
-        if np.array_equal(before, least):
-            return least
-
-
 def member_rows(units: DataFrame, labels: DataFrame, masks_: np.ndarray, first: int, last: int, prefixes: bool) -> DataFrame:
     """Rows (node, at, code, label, n_shingles, words) of the masks ``first`` to ``last``, and of prefixes (at: -1)."""
     columns = ["code", "label", "n_shingles", *NAMES]
@@ -284,9 +291,7 @@ def _marked(rows: DataFrame, masks_: np.ndarray, first: int, share: float) -> Da
             rows = np.unique(np.concatenate([a, b]))
             if not len(rows):
                 continue
-            cluster = _clusters(len(frame), a, b)
-            with np.errstate(over="ignore"):
-                own = mixed(node.view(np.uint64) + mixed(code.view(np.uint64)[cluster])).view(np.int64)
+            own = overlap.cluster_nodes(node, code, a, b)
             yield pd.DataFrame({"node": own[rows], "side": side[rows], "code": code[rows], "label": label[rows]})
 
     sorted_ = rows.repartition("node").sortWithinPartitions("node", "code")
