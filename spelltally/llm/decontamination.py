@@ -3,7 +3,12 @@
 An item may occur with up to ``rate`` of its length in edits. Cut into one piece more than
 that budget, at least one piece occurs unchanged. One automaton finds all pieces in a
 text; around each hit Myers' bit-parallel algorithm finds the edit distance of the whole
-item. Benchmark items go out in blocks of bounded size, each against all texts.
+item. Benchmark items go out in blocks of bounded size, one at a time, each against all texts.
+
+White space at the ends of an item doesn't count. Items without a letter or digit are found
+nowhere. Items shorter than ``SHORT`` characters, which may not be edited, are found at word
+boundaries only, and those shorter than ``TINY``, which ordinary prose holds by chance, only in
+texts that consist of them.
 """
 
 from __future__ import annotations
@@ -17,13 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.llm.common import LOWER, UPPER
+from spelltally.llm.common import LOWER, UPPER, stored
 
 RATE = 0.05
-# Bound of what one block sends to the executors.
-BLOCK_ITEMS = 20_000
+# Lengths below which an item needs word boundaries, or the text to itself.
+SHORT, TINY = 20, 12
+# Bytes of items in a block, about: bounds what the driver sees and sends at once. An item
+# longer than that is a block by itself.
+BLOCK_BYTES = 4 << 20
 FOLDED = str.maketrans(UPPER, LOWER)
-HITS = "item_id long, distance int, start int, end int"
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -66,8 +73,9 @@ def best_end(pattern: str, text: str, rows: dict[str, int] | None = None) -> tup
 class Matcher:
     """The pieces of a block of items, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(key, text.translate(FOLDED)) for key, text in items]
+    def __init__(self, items: list[tuple[str | None, str]], rate: float = RATE):
+        self.items = [(key, text.strip().translate(FOLDED)) for key, text in items]
+        self.items = [(key, text) for key, text in self.items if any(map(str.isalnum, text))]
         self.budgets = [int(len(text) * rate) for _, text in self.items]
         self.rows = [char_rows(text) for _, text in self.items]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -81,15 +89,23 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str | None) -> list[tuple[str | None, int, int, int]]:
         """(item key, distance, start, end), the best occurrence of each item in the text."""
         if not text or self.empty:
             return []
         text = text.translate(FOLDED)
         windows: dict[int, list[list[int]]] = defaultdict(list)
+        own = len(text.strip())
         for end, (length, places) in self.automaton.iter(text):
             for number, offset in places:
                 budget, begin = self.budgets[number], end + 1 - length - offset
+                size = len(self.items[number][1])
+                if size < SHORT and not budget:
+                    inside = text[begin - 1 : begin].isalnum() or text[begin + size : begin + size + 1].isalnum()
+                    if begin < 0 or inside or (size < TINY and own != size):
+                        continue
+                    windows[number].append([begin, begin + size])
+                    continue
                 a = max(0, begin - budget)
                 b = min(len(text), begin + len(self.items[number][1]) + budget)
                 windows[number].append([a, b])
@@ -109,42 +125,54 @@ class Matcher:
                 # The reversed item against what ends there gives the start.
                 _, back = best_end(item[::-1], text[a : a + end][::-1])
                 hits.append((key, distance, a + end - back, a + end))
-        return sorted(hits)
+        return sorted(hits, key=lambda hit: (hit[2], hit[3], str(hit[0])))
 
 
-def _blocks(benchmark: DataFrame, block_items: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks that fit an executor; empty and null texts match nothing."""
-    items = benchmark.select("item_id", "text").where("length(text) > 0").distinct()
-    number = -(-items.count() // block_items)
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(number, 1))))
-    return [
-        sorted(((r[0], r[1]) for r in dealt.where(F.col("_block") == n).select("item_id", "text").collect()), key=repr)
-        for n in range(number)
-    ]
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
+    """The different items, ids as text, in blocks of about ``block_bytes``; the driver holds one at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.length(F.trim("text")) > 0).distinct()
+    items = stored(items.withColumn("size", F.octet_length("text").cast("long")), "benchmark")
+    long_ = F.col("size") > block_bytes
+    total = items.where(~long_).agg(F.sum("size")).first()[0] or 0
+    number = -(-2 * total // block_bytes)
+    dealt = items.where(~long_).withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(number, 1))))
+    wanted = [dealt.where(F.col("block") == n) for n in range(number)]
+    rows = items.where(long_).select(F.xxhash64("item_id", "text").alias("key")).distinct()
+    wanted += [items.where(long_ & (F.xxhash64("item_id", "text") == r.key)) for r in rows.toLocalIterator()]
+    for block in wanted:
+        yield sorted(((r[0], r[1]) for r in block.select("item_id", "text").collect()), key=repr)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, distance, start, end.
 
     Letters A-Z and a-z are the same. The span is the occurrence with the least distance,
     the first of such. Null and empty texts hold nothing; a repeated row gives repeated
-    hits; an empty benchmark gives no hits.
+    hits, a repeated item is one; an empty benchmark or input gives no hits. Ids may be of any
+    type that a cast to text and back leaves as it is, null ones included. Other columns are
+    not looked at.
     """
+    kinds = [frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id"))]
+    # Ids travel as text: beside a null, pandas would round large numbers.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    columns = ["doc_id", "item_id", "distance", "start", "end"]
     results = []
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {HITS}"
-    for block in _blocks(benchmark, block_items):
+    for block in blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def found(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             matcher = Matcher(sent.value, rate)
             for batch in batches:
                 hits = [(key, *hit) for key, text in zip(batch["doc_id"], batch["text"]) for hit in matcher.search(text)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance", "start", "end"])
+                yield pd.DataFrame(hits, columns=columns)
 
-        results.append(docs.select("doc_id", "text").mapInPandas(found, schema))
+        results.append(stored(texts.mapInPandas(found, "doc_id string, item_id string, distance int, start int, end int"), "hits"))
+        sent.unpersist()
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start int, end int"
     if not results:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, results)
+    hits = reduce(DataFrame.unionByName, results)
+    return hits.withColumns({"doc_id": F.col("doc_id").cast(kinds[0]), "item_id": F.col("item_id").cast(kinds[1])})
 
 
 def _clean_under(sent, rate: float):
@@ -157,10 +185,18 @@ def _clean_under(sent, rate: float):
     return is_clean
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents that hold no benchmark item. Each text decides for itself, so nothing is joined."""
-    for block in _blocks(benchmark, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns and repeats.
 
-        docs = docs.where(_clean_under(sent, rate)(F.col("text")))
+    Each text decides for itself, so nothing is joined. What is left by one block of items is
+    stored before the next goes out. Null and empty texts are clean; an empty benchmark leaves
+    all documents.
+    """
+    before = None
+    for block in blocks(benchmark, block_bytes):
+        if before is not None:
+            docs = stored(docs, "clean")
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(_clean_under(before, rate)(F.col("text")))
     return docs
