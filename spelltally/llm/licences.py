@@ -1,9 +1,12 @@
 """Licence scans, in DataFrame functions only.
 
-Every sentence or line of a file is compared with licence templates by TF-IDF cosine over
-sparse terms. A file made up mostly of its licence statement, or named like one, is the
-licence file of its directory. Files without a statement inherit from the nearest
-directory above them that has a licence file.
+Every line of a file, and every sentence of its paragraphs with wrapped lines put together, is
+compared with licence templates (statements, standard headers, passages of licence texts, SPDX
+tags) by TF-IDF cosine over sparse terms. A match counts only if both name the same licence:
+the same terms out of those that tell licences apart, and nothing unknown before the word
+"licence". A file made up mostly of its licence statement, or named like one, is the licence
+file of its directory. Files without a statement inherit from the nearest directory above
+them that has a licence file.
 """
 
 from __future__ import annotations
@@ -15,24 +18,86 @@ from pyspark.sql import functions as F
 
 from spelltally.llm.common import stored, whole
 
-# Statements by which files declare common licences.
+GPL_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+BSD_FORM = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met:"
+)
+# Statements, headers and passages by which files declare common licences.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        GPL_HEADER.format("Affero General Public License", 3), "GNU Affero General Public License, Version 3, 19 November 2007",
+    ],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License, Version 2.0, January 2004"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", BSD_FORM],
+    "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0.", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, all copyright and related rights are waived."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        GPL_HEADER.format("General Public License", 2), "GNU General Public License, Version 2, June 1991",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        GPL_HEADER.format("General Public License", 3), "GNU General Public License, Version 3, 29 June 2007",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        GPL_HEADER.format("Lesser General Public License", 3), "GNU Lesser General Public License, Version 3, 29 June 2007",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+TAG = "SPDX-License-Identifier: "
+# Tags of licences whose versions may be exceeded.
+LATER = ("-only", "-or-later")
+# Terms that tell licences apart; single digits stand for versions and clauses.
+NAMING = (
+    "affero", "agpl", "apache", "artistic", "boost", "bsd", "bsl", "by", "cc", "cc0", "commons", "creative", "cddl", "eclipse",
+    "epl", "eupl", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "nd", "noderivatives", "noderivs",
+    "noncommercial", "odbl", "only", "proprietary", "sa", "sharealike", "unlicense", "wtfpl", "zlib", "0", "1", "2", "3", "4", "5",
+)
+# Terms that may stand before the word "licence" whatever the licence is.
+BEFORE = ("a", "all", "an", "any", "applicable", "each", "following", "full", "of", "or", "other", "public", "software", "such", "that", "the", "this", "under", "your", "above")
 THRESHOLD = 0.7
 # Share of a file's terms in its licence statement that makes it a licence file.
 MOSTLY = 0.5
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
-SEGMENT_END = r"[\r\n]+|(?<=[.;!?])[ \t]+"
+LINE_END, SENTENCE_END = r"[\r\n]+", r"(?<=[.;!?])\s+"
+# A blank line, which may have comment marks.
+PARAGRAPH_END = r"\r?\n[ \t/*#;%\-]*\r?\n"
 NOT_TERM = r"[^\p{L}\p{N}]+"
 # Weight of a term that no template has, in units of the heaviest term that one has.
 FOREIGN = 0.5
@@ -42,11 +107,23 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda term: term != "")
 
 
+def naming(found: Column) -> Column:
+    """The licence-naming terms of an array of terms, as one text."""
+    return F.array_join(F.array_sort(F.array_intersect(F.array_distinct(found), F.array(*map(F.lit, NAMING)))), " ")
+
+
+def before_licence(found: Column) -> Column:
+    """The terms right before "licence" or "license" that may belong to a name."""
+    follows = F.transform(found, lambda term, i: F.when(F.get(found, i + 1).rlike("^licen[cs]e$"), term))
+    return F.array_except(F.filter(F.array_distinct(follows), lambda term: term.isNotNull()), F.array(*map(F.lit, BEFORE)))
+
+
 def template_terms(templates: dict[str, list[str]]) -> list[tuple[str, int, dict[str, int]]]:
-    """Licence, number and term counts of each template."""
+    """Licence, number and term counts of each template, tags included."""
     rows = []
     for name, texts in templates.items():
-        for text in texts:
+        tags = [TAG + name] + [TAG + name + later for later in LATER if "GPL" in name]
+        for text in (*texts, *tags):
             cleaned = "".join(c if c.isalnum() else " " for c in text.lower()).split()
             rows.append((name, len(rows), {t: cleaned.count(t) for t in cleaned}))
     return rows
@@ -80,8 +157,10 @@ def decisive_terms(vectors: list[dict[str, float]], threshold: float) -> set[str
 def statements(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The best licence statement of each file that has one.
 
-    Returns path, licence, cosine, statement and share (of the file's terms). Of equal
-    cosines the first segment and the first licence by name win.
+    Returns path, licence, cosine, statement and share (of the file's terms). Of several the
+    one with most terms of its template wins, so that a clause which tells two licences apart
+    goes before what they have in common; then the higher cosine, the first segment and the
+    first licence by name.
     """
     rows = template_terms(templates)
     vocabulary = sorted({t for _, _, counts in rows for t in counts})
@@ -99,22 +178,30 @@ def statements(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
         "term string, licence string, template int, entry double",
     )
     foreign = FOREIGN * max(weight_of.values())
-    split = F.transform(
-        F.split(whole(), SEGMENT_END), lambda s, i: F.struct(i.alias("place"), s.alias("statement"), terms(s).alias("terms"))
+    named = spark.createDataFrame(
+        [(number, " ".join(sorted(set(counts) & set(NAMING))), sorted(counts)) for _, number, counts in rows],
+        "template int, names string, own array<string>",
     )
+    paragraphs = F.transform(F.split(whole(), PARAGRAPH_END), lambda p: F.split(F.regexp_replace(p, LINE_END, " "), SENTENCE_END))
+    pieces = F.array_distinct(F.concat(F.split(whole(), LINE_END), F.flatten(paragraphs)))
+    split = F.transform(pieces, lambda s, i: F.struct(i.alias("place"), s.alias("statement"), terms(s).alias("terms")))
     segments = files.select(
         F.coalesce("path", F.lit("")).alias("path"),
         F.size(terms(whole())).alias("size"),
         F.explode(F.filter(split, lambda s: F.arrays_overlap(s["terms"], decisive))).alias("s"),
     ).select("path", "size", "s.*")
+    facts = ("path", "place", "statement", "size", "length", "names", "before")
     counted = (
-        segments.select("path", "place", "statement", "size", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        .groupBy("path", "place", "statement", "size", "length", "term")
+        segments.select(
+            "path", "place", "statement", "size", F.size("terms").alias("length"), naming(F.col("terms")).alias("names"),
+            F.array_sort(before_licence(F.col("terms"))).alias("before"), F.explode("terms").alias("term"),
+        )
+        .groupBy(*facts, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .join(F.broadcast(weights), "term", "left")
         .withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(foreign)))
     )
-    key = ["path", "place", "statement", "size", "length"]
+    key = list(facts)
     vector = counted.groupBy(*key).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("term", "w"))).alias("known"),
@@ -126,10 +213,12 @@ def statements(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
         .groupBy(*key, "norm", "licence", "template")
         .agg((F.sum(F.col("w") * F.col("entry")) / F.first("norm")).alias("cosine"))
         .where(F.col("cosine") >= threshold)
+        .join(F.broadcast(named), ["template", "names"])
+        .where(F.size(F.array_except("before", "own")) == 0)
     )
     best = F.max_by(
         F.struct("licence", "cosine", "statement", (F.col("length") / F.col("size")).alias("share")),
-        F.struct(F.round("cosine", 9), -F.col("place"), -F.col("template")),
+        F.struct(F.size("own"), F.round("cosine", 9), -F.col("place"), -F.col("template")),
     )
     return cosines.groupBy("path").agg(best.alias("b")).select("path", "b.*")
 
@@ -173,7 +262,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     licensed = (
         own.where((F.col("share") >= MOSTLY) | name.rlike(LICENCE_NAME))
         .groupBy(directory(F.col("path")).alias("folder"))
-        .agg(F.max_by(F.struct("licence", F.col("path").alias("licence_file")), F.struct("cosine", "path")).alias("b"))
+        .agg(F.max_by(F.struct("licence", F.col("path").alias("licence_file")), F.struct(F.round("cosine", 9), "path")).alias("b"))
         .select("folder", "b.*")
     )
     paths = files.select(F.coalesce("path", F.lit("")).alias("path")).withColumn("folder", directory(F.col("path")))

@@ -41,13 +41,18 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def licences_of_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files of their source, in folders of a thousand, a hundred and ten ids."""
+    """Documents as files of their source, at every depth of its folders; every fourth is named like a licence file."""
     steps = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)]
+    depth = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0)).cast("int")
+    name = F.when(F.pmod(F.col("doc_id"), F.lit(4)) == 0, F.lit("LICENSE-")).otherwise(F.lit("file-"))
     files = table(spark, folder, "documents", "doc_id", "text", "source").select(
-        F.concat_ws("/", F.coalesce("source", F.lit("none")), *steps, F.col("doc_id").cast("string")).alias("path"), "text"
+        F.concat_ws(
+            "/", F.coalesce("source", F.lit("none")), F.slice(F.array(*steps), F.lit(1), depth), F.concat(name, F.col("doc_id").cast("string"))
+        ).alias("path"),
+        "text",
     )
     found = licences.scan(files)
-    return found.withColumn("doc_id", F.regexp_extract("path", r"(-?\d+)$", 1).try_cast("long"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)$", 1).try_cast("long"))
 
 
 def reply_order(spark: SparkSession, folder: str) -> DataFrame:
