@@ -3,7 +3,8 @@
 Disguised words (digits and signs for letters, letters set apart, letters repeated) span a
 lattice of readings; a Viterbi search under a character trigram model, counted over all
 texts, picks the likeliest. A word of plain letters without doubled ones has one reading and
-needs no search, nor does a frequent word.
+needs no search. One with doubled letters has two, its spelling and what the search finds; the
+second counts unless the spelling itself is found in clean texts rather than in toxic ones.
 Restored texts are scored by words and word beginnings that mark toxic texts.
 """
 
@@ -27,7 +28,7 @@ TOXIC_FROM = 0.3
 # Readings of signs and digits.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    "@": "ao", "$": "s", "*": "aeiou", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 # Costs in natural logarithms: a sign read as a letter, dropped, a repeat dropped, a gap that ends a word.
 READ, DROP, REPEAT, BREAK = 1.0, 9.0, 1.0, 6.0
@@ -37,10 +38,14 @@ LM_SMOOTHING = 0.1
 EDGE = ".,;:!?'\"()[]{}<>«»¡¿…-–—_*#%&~/\\="
 PLAIN = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1")
-# Plain words with a doubled letter that stand in so many texts keep their spelling; so many are sent out.
-OFTEN, MOST_FREQUENT = 20, 50_000
+RUNS = re.compile(r"(.)\1+")
+# Letters that look like Latin ones, read as those in words that have Latin ones as well. Fixed values.
+LOOKALIKE = str.maketrans("аеорсухіѕјԁһкмтвνοαιυρτκ", "aeopcyxisjdhkmtbvoaiuptk")
+# Full-width signs and letters are ASCII ones moved by this.
+FULL_WIDTH = {code + 0xFEE0: code for code in range(0x21, 0x7F)}
+FOREIGN = re.compile("[" + "".join(map(chr, (*LOOKALIKE, *FULL_WIDTH))) + "]")
 # A letter or a sign that may stand for one, and what sets letters apart.
-SIGN = "(?:[^\\W_]|[" + re.escape("".join(key for key in READINGS if not key.isdigit())) + "])"
+SIGN = "(?:[^\\W_]|[" + re.escape("".join(key for key in READINGS if not key.isdigit() and key != "*")) + "])"
 APART = r"[\s\-–—_.,;:*~/\\#%&='\"·…]+"
 SPACED = re.compile(rf"(?<![^\W_])(?<!{SIGN})(?:{SIGN}{APART}){{2,}}{SIGN}(?!{SIGN})")
 # Cheap to look for, and part of all that SPACED matches.
@@ -50,8 +55,9 @@ EDGE_RUN = re.compile(r"([^\w\s])\1{2,}$")
 PORTION = 1_000_000
 # Searched tokens remembered at once.
 REMEMBERED = 200_000
-# A feature of the toxic vocabulary: least log odds, least log-likelihood ratio; the strongest are sent out.
-LEAST_WEIGHT, LEAST_RATIO, MOST_FEATURES = 2.0, 30.0, 50_000
+# A feature of the toxic vocabulary: least log odds, least log-likelihood ratio. Each takes a number of
+# toxic texts, of which ``MOST_LABELS`` bounds the sum; so it bounds what is sent out.
+LEAST_WEIGHT, LEAST_RATIO = 2.0, 30.0
 PREFIXES = (5, 7)
 # Features counted at once by a task, and steps of evidence of the calibration.
 COUNTED, STEPS = 300_000, 64
@@ -97,28 +103,47 @@ def character_costs(docs: DataFrame) -> np.ndarray:
     return -np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
-def frequent_doubled(docs: DataFrame) -> frozenset[str]:
-    """The plain words with a doubled letter that many texts hold; at most ``MOST_FREQUENT``."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counted = (
-        docs.select(F.explode(F.filter(words, lambda word: word.rlike(r"(.)\1"))).alias("word"))
-        .groupBy("word")
-        .count()
-        .where(F.col("count") >= OFTEN)
-        .orderBy(F.desc("count"), "word")
-        .limit(MOST_FREQUENT)
-    )
-    return frozenset(row.word for row in counted.collect() if not re.search(r"(.)\1\1", row.word))
-
-
 class Decoder:
     """Restores texts under a table of character costs."""
 
-    def __init__(self, costs: np.ndarray, frequent: frozenset[str] = frozenset()):
+    def __init__(self, costs: np.ndarray, weights: dict[str, float] | None = None, clean: frozenset[str] = frozenset()):
+        """With ``weights`` of features, and spellings that are ``clean``, texts can be scored."""
         self.costs = costs.tolist()
-        self.frequent = frequent
         self.known: dict[str, str] = {}
         self.harmless: set[str] = set()
+        self.clean = clean
+        self.whole = {f: w for f, w in (weights or {}).items() if not f.endswith("-")}
+        self.starts = [(n, {f[:-1]: w for f, w in (weights or {}).items() if f.endswith("-") and len(f) == n + 1}) for n in PREFIXES]
+        self.heads = {f[:3] for f in weights or {}}
+        # What features look like with every run of a letter as one.
+        self.short = {RUNS.sub(r"\1", f) for f in self.whole}
+        self.short_starts: dict[int, set[str]] = {}
+        for _, starts in self.starts:
+            for start in (RUNS.sub(r"\1", f) for f in starts):
+                self.short_starts.setdefault(len(start), set()).add(start)
+
+    def strength(self, word: str) -> float:
+        """The weight of a word's strongest feature, 0 without one."""
+        if word[:3] not in self.heads:
+            return 0.0
+        weight = self.whole.get(word, 0.0)
+        for n, starts in self.starts:
+            if len(word) > n:
+                weight = max(weight, starts.get(word[:n], 0.0))
+        return weight
+
+    def may_mark(self, word: str) -> bool:
+        """Whether some reading with fewer repeats could have a feature."""
+        short = RUNS.sub(r"\1", word)
+        return short in self.short or any(short[:n] in starts for n, starts in self.short_starts.items())
+
+    def marking(self, word: str) -> tuple[float, str]:
+        """Weight and text of a restored word's strongest reading: doubled letters have two unless the spelling is clean."""
+        best = (self.strength(word), word)
+        if DOUBLED.search(word) and PLAIN.fullmatch(word) and word not in self.clean and self.may_mark(word):
+            other = self.search(word)
+            best = max(best, (self.strength(other), other))
+        return best
 
     def search(self, chars: str, gaps: bool = False) -> str:
         """The likeliest reading; see ``cheapest``."""
@@ -153,18 +178,22 @@ class Decoder:
 
     def token(self, token: str) -> str:
         """A token without the signs at its edges, read as a word if it isn't plain."""
+        core = token.strip(EDGE)
+        foreign = not core.isascii() and FOREIGN.search(core)
+        if core.isalpha() and token[0] not in "!(" and not foreign:
+            return core
+        if foreign:
+            token = folded(token)
         core = EDGE_RUN.sub("", token).strip(EDGE)
         sign = token[: len(token) - len(token.lstrip(EDGE))][-1:]
         # A sign before the word that may be its first letter, unless it opens a bracket that is closed.
-        if core and sign in READINGS and any(map(str.isalpha, core)) and not (sign == "(" and ")" in token):
+        if core and sign in READINGS and sign != "*" and any(map(str.isalpha, core)) and not (sign == "(" and ")" in token):
             options = [self.cheapest(core), self.cheapest(sign + core)]
             if min(options)[1] != options[0][1]:
                 return min(options)[1]
         if not core or not any(map(str.isalpha, core)):
             return core
-        if PLAIN.fullmatch(core) and (core in self.frequent or not DOUBLED.search(core)):
-            return core
-        return self.search(core)
+        return core if PLAIN.fullmatch(core) else self.search(core)
 
     def joined(self, run: re.Match[str]) -> str:
         """Letters set apart as words; runs without a letter stay."""
@@ -184,19 +213,32 @@ class Decoder:
         if word is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            word = self.known[token] = self.token(token)
+            word = self.token(token)
+            if DOUBLED.search(word) and PLAIN.fullmatch(word):
+                word = self.search(word)
+            self.known[token] = word
         return word
 
     def words(self, text: str | None) -> list[str]:
         """The restored words of a whole text, lower-cased, in order."""
         return [word for word in map(self.word, self.tokens(text)) if word]
 
-    def evidence(self, text: str | None, weights: dict[str, float]) -> float:
+    def restored(self, text: str | None) -> list[str]:
+        """As ``words``, but spellings with doubled letters stay where their reading marks nothing."""
+        return [word for _, word in (self.marking(self.token(token)) for token in self.tokens(text)) if word]
+
+    def spelled(self, text: str | None) -> list[str]:
+        """The different words of a text, doubled letters as they are."""
+        return sorted({word for word in map(self.token, set(self.tokens(text))) if word})
+
+    def evidence(self, text: str | None) -> float:
         """The sum over different words of the weight of each one's strongest feature."""
+        return self.evidence_of(set(self.tokens(text)))
+
+    def evidence_of(self, tokens: set[str]) -> float:
         found = {}
-        for token in set(self.tokens(text)) - self.harmless:
-            word = self.token(token)
-            weight = max((weights[f] for f in (word, *beginnings(word)) if f in weights), default=0.0)
+        for token in tokens - self.harmless:
+            weight, word = self.marking(self.token(token))
             if weight:
                 found[word] = weight
             else:
@@ -206,6 +248,12 @@ class Decoder:
         return sum(found[word] for word in sorted(found))
 
 
+def folded(token: str) -> str:
+    """Full-width signs as ASCII; letters that only look Latin as Latin where they stand among Latin ones."""
+    token = token.translate(FULL_WIDTH)
+    return token.translate(LOOKALIKE) if re.search("[a-z]", token) else token
+
+
 def beginnings(word: str) -> Iterator[str]:
     """The beginnings of a longer word, marked by a hyphen."""
     return (word[:n] + "-" for n in PREFIXES if len(word) > n)
@@ -219,15 +267,25 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def vocabulary(training: DataFrame, costs: np.ndarray, frequent: frozenset[str] = frozenset()) -> dict[str, float]:
-    """Weights (log odds) of features of toxic texts.
+def decoded(training: DataFrame, costs: np.ndarray) -> DataFrame:
+    """label and ``words`` (see ``Decoder.spelled``) of labelled texts, each decoded once."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(costs)
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["label"], "words": [decoder.spelled(text) for text in batch["text"]]})
+
+    return stored(training.mapInPandas(read, "label int, words array<string>"), "toxic-words")
+
 
-    ``training`` has ``text`` and ``label``, each text once. Counts cover all of it; the
-    model sent out is bounded by ``MOST_FEATURES``.
+def vocabulary(training: DataFrame, costs: np.ndarray) -> tuple[dict[str, float], frozenset[str]]:
+    """Weights (log odds) of features of toxic texts, and spellings that are clean though their reading isn't.
+
+    ``training`` is what ``decoded`` gives. Counts cover all of it.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, counts = Decoder(costs, frequent), (Counter(), Counter())
+        counts = (Counter(), Counter())
 
         def told() -> pd.DataFrame:
             names = list(counts[1].keys() | counts[0].keys())
@@ -237,8 +295,8 @@ def vocabulary(training: DataFrame, costs: np.ndarray, frequent: frozenset[str]
             return pd.DataFrame(rows)
 
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
-                counts[int(label)].update(features(decoder.words(text)))
+            for words, label in zip(batch["words"], batch["label"]):
+                counts[int(label)].update(features(words.tolist()))
                 counts[int(label)][""] += 1
                 if len(counts[0]) + len(counts[1]) > COUNTED:
                     yield told()
@@ -248,34 +306,39 @@ def vocabulary(training: DataFrame, costs: np.ndarray, frequent: frozenset[str]
         training.mapInPandas(counted, "feature string, toxic long, clean long")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where("toxic > 0"),
+        .where(r"toxic > 0 OR feature RLIKE '(.)\\1'"),
         "toxic-features",
     )
     totals = sums.where("feature = ''").first()
     if totals is None or not totals.clean:
-        return {}
+        return {}, frozenset()
     toxic, clean = F.col("toxic"), F.col("clean")
     weight = F.log((toxic + 0.5) / (totals.toxic + 1)) - F.log((clean + 0.5) / (totals.clean + 1))
     share = totals.toxic / (totals.toxic + totals.clean)
     expected = (toxic + clean) * share, (toxic + clean) * (1 - share)
     ratio = 2 * (toxic * F.log(toxic / expected[0]) + F.when(clean > 0, clean * F.log(clean / expected[1])).otherwise(0.0))
-    chosen = (
-        sums.where("feature <> ''")
-        .select("feature", weight.alias("weight"), ratio.alias("ratio"))
-        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO))
-        .orderBy(F.desc("ratio"), "feature")
-        .limit(MOST_FEATURES)
-    )
-    return {r.feature: r.weight for r in chosen.collect()}
+    chosen = sums.where((F.col("feature") != "") & (toxic > 0) & (weight >= LEAST_WEIGHT) & (ratio >= LEAST_RATIO))
+    weights = {r.feature: r.weight for r in chosen.select("feature", weight.alias("weight")).collect()}
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(costs, weights)
+        for batch in batches:
+            kept = [word for word in batch["feature"] if decoder.marking(word)[1] != word]
+            yield pd.DataFrame({"spelling": pd.Series(kept, dtype="object")})
+
+    # Spellings whose other reading has a feature, and which clean texts hold more than toxic ones.
+    doubled = sums.where((weight <= 0) & F.col("feature").rlike(r"(.)\1") & ~F.col("feature").endswith("-"))
+    clean_ones = doubled.select("feature").mapInPandas(marked, "spelling string").collect()
+    return weights, frozenset(r.spelling for r in clean_ones)
 
 
-def calibration(training: DataFrame, costs: np.ndarray, weights: dict[str, float], frequent: frozenset[str] = frozenset()) -> np.ndarray:
+def calibration(training: DataFrame, costs: np.ndarray, weights: dict[str, float], clean: frozenset[str]) -> np.ndarray:
     """The share of toxic texts at each step of evidence, made non-decreasing; 0.5 without labels."""
 
     def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(costs, frequent)
+        decoder = Decoder(costs, weights, clean)
         for batch in batches:
-            steps = [min(STEPS - 1, round(decoder.evidence(text, weights))) for text in batch["text"]]
+            steps = [min(STEPS - 1, round(decoder.evidence_of(set(words)))) for words in batch["words"]]
             yield pd.DataFrame({"step": steps, "label": batch["label"]})
 
     counts = np.zeros((STEPS, 2))
@@ -317,21 +380,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, restored: bool = False) -
         .groupBy("text")
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
-    training = stored(training, "toxic-training")
-    frequent = frequent_doubled(docs)
-    weights = vocabulary(training, costs, frequent)
-    shares = calibration(training, costs, weights, frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((costs, weights, frequent))
+    training = decoded(training, costs)
+    weights, clean = vocabulary(training, costs)
+    shares = calibration(training, costs, weights, clean)
+    sent = docs.sparkSession.sparkContext.broadcast((costs, weights, clean))
 
     @F.pandas_udf("score double, restored_text string")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, known, frequent_words = sent.value
-        decoder = Decoder(table, frequent_words)
+        decoder = Decoder(*sent.value)
         for batch in texts:
             yield pd.DataFrame(
                 {
-                    "score": [toxicity(decoder.evidence(text, known), shares) for text in batch],
-                    "restored_text": [" ".join(decoder.words(text)) if restored else None for text in batch],
+                    "score": [toxicity(decoder.evidence(text), shares) for text in batch],
+                    "restored_text": [" ".join(decoder.restored(text)) if restored else None for text in batch],
                 }
             )
 

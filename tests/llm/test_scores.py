@@ -73,14 +73,81 @@ def test_portions_do_not_change_scores(spark, monkeypatch, provided):
     assert np.allclose(rows["score"], provided("op4_language_scores").sort_values("doc_id")["score"])
 
 
-def test_chances_add_up_to_one(spark):
-    """Over all words and one unknown, after each of two contexts."""
-    words = ["a", "b", "c"]
-    training = [(i, " ".join(words[(i + k) % 3] for k in range(6))) for i in range(60)]
-    model = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame([*training, *((1000 + j, "") for j in range(40))], "doc_id long, text string")).collect()}
-    assert all(10**r.score <= 1 for r in model.values())
-    table = language_model.interpolation(np.zeros(language_model.CONTEXTS * language_model.RATIOS * language_model.COUNTS), 10, 3)
-    assert np.allclose(table.sum(axis=1), 1) and table[0, 0] == 0
+def plain_scores(texts):
+    """Interpolated scores with dictionaries: counts, EM per context bucket on deleted texts, log10 sums."""
+    tokens = {d: [""] + (t or "").lower().split() + [""] for d, t in texts.items()}
+    part = {d: 2 if fold(d, 7) == 2 else int(fold(d, 70) % 10 == 0) for d in texts}
+    words, pairs = ([Counter(), Counter()] for _ in range(2))
+    for d, own in tokens.items():
+        if part[d] < 2:
+            words[part[d]].update(own[1:])
+            pairs[part[d]].update(zip(own, own[1:]))
+
+    def bucket(count):
+        return min(language_model.CONTEXTS - 1, count.bit_length()) if count else 0
+
+    fewer, fewer_types = sum(words[0].values()), len(words[0])
+    # Deleted tokens by bucket: p(w | v) to half octaves, p(w) to quarters, the floor.
+    seen = {}
+    for d, own in tokens.items():
+        if part[d] == 1:
+            for v, w in zip(own, own[1:]):
+                context, pair, word = words[0][v], pairs[0][v, w], words[0][w]
+                two = 2.0 ** (-round(-2 * math.log2(pair / context)) / 2) if pair else 0.0
+                one = 2.0 ** (round(4 * math.log2(word)) / 4) / max(fewer, 1) if word else 0.0
+                seen.setdefault(bucket(context), []).append((two, one, 1 / (fewer_types + 1)))
+
+    def learned(rows, weights):
+        for _ in range(language_model.ROUNDS):
+            sums = [0.0] * 3
+            for row in rows:
+                total = sum(l * p for l, p in zip(weights, row))
+                sums = [s + l * p / total for s, l, p in zip(sums, weights, row)]
+            weights = [max(s / len(rows), language_model.FLOOR) for s in sums]
+            weights = [w / sum(weights) for w in weights]
+        return weights
+
+    pooled = learned([row for rows in seen.values() for row in rows], [1 / 3] * 3)
+    table = {b: learned(rows, pooled) for b, rows in seen.items()}
+    zero = table.get(0, pooled)
+    table[0] = [0.0, zero[1] / (zero[1] + zero[2]), zero[2] / (zero[1] + zero[2])]
+    for part_ in (words, pairs):
+        part_[0].update(part_[1])
+    total, types, out = sum(words[0].values()), len(words[0]), {}
+    for d, own in tokens.items():
+        score = 0.0
+        for v, w in zip(own, own[1:]):
+            l2, l1, l0 = table.get(bucket(words[0][v]), pooled)
+            score += math.log10(l2 * pairs[0][v, w] / max(words[0][v], 1) + l1 * words[0][w] / total + l0 / (types + 1))
+        out[d] = score
+    return out
+
+
+def test_scores_against_plain_interpolation(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = {d: " ".join(words[min(29, int(x))] for x in rng.exponential(6, size=int(rng.integers(0, 30)))) for d in range(300)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    wanted = plain_scores(texts)
+    made = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame).collect()}
+    assert set(made) == set(wanted)
+    for d, score in wanted.items():
+        assert made[d] == pytest.approx(score, rel=1e-6)
+
+
+def test_few_tokens_at_once_give_the_same_scores(spark, monkeypatch, provided):
+    monkeypatch.setattr(language_model, "SCORED_TOKENS", 100)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = language_model.score_texts(docs, settled=True).toPandas().sort_values("doc_id")
+    assert np.allclose(rows["score"], provided("op4_language_scores").sort_values("doc_id")["score"])
+
+
+def test_large_ids_beside_null_ones_stay(spark):
+    rows = [(2**53 + 1, "a b c"), (None, "a b"), (2**62 + 3, None)]
+    made = language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in made} == {2**53 + 1, None, 2**62 + 3}
+    named = language_model.score_texts(spark.createDataFrame([("x1", "a b"), (None, "c")], "doc_id string, text string"))
+    assert {r["doc_id"] for r in named.collect()} == {"x1", None}
 
 
 def test_scores_of_odd_rows(odd, empty, spark):
@@ -96,9 +163,9 @@ def test_scores_of_odd_rows(odd, empty, spark):
     assert language_model.score_texts(empty).count() == 0
 
 
-def decoder_of(plain, frequent=frozenset()):
+def decoder_of(plain):
     counts = deobfuscation.trigram_counts(plain * 50).reshape(64, 64, 64) + 0.1
-    return deobfuscation.Decoder(-np.log(counts / counts.sum(axis=2, keepdims=True)), frequent)
+    return deobfuscation.Decoder(-np.log(counts / counts.sum(axis=2, keepdims=True)))
 
 
 @pytest.mark.parametrize("text", ["stuupid", "stupidd", "sstupid", "sstuupidd", "stuuuupid", "ssttuuppiidd"])
@@ -106,17 +173,87 @@ def test_repeated_letters_are_restored(text):
     assert decoder_of("the stupid bell tells the tale ").words(text) == ["stupid"]
 
 
-def test_frequent_words_keep_doubled_letters():
-    assert decoder_of("the stupid tale tel ", frozenset(["tell"])).words("tell telll") == ["tell", "tel"]
+def test_spellings_stay_unless_their_reading_marks_something():
+    costs = np.array(decoder_of("the stupid tale tel ").costs)
+    weights = {"tel": 3.0, "stupid": 4.0, "moron-": 2.0}
+    decoder = deobfuscation.Decoder(costs, weights, frozenset(["tell"]))
+    assert decoder.restored("tell stuupid thee") == ["tell", "stupid", "thee"]
+    assert decoder.evidence("tell stuupid thee") == 4.0
+    assert deobfuscation.Decoder(costs, weights).evidence("tell stuupid stupid") == 7.0
+
+
+def test_readings_that_could_mark_are_never_passed_over():
+    """Every spelling of a feature with letters repeated is searched."""
+    weights = {"stupid": 4.0, "moron-": 2.0, "scumm-": 2.0, "assa": 3.0}
+    decoder = deobfuscation.Decoder(np.array(decoder_of("the stupid tale ").costs), weights)
+    rng = np.random.default_rng(3)
+    for word in ("stupid", "morons", "moronic", "scummybag", "assa"):
+        for _ in range(50):
+            assert decoder.may_mark("".join(c * int(rng.integers(1, 4)) for c in word))
+    assert not decoder.may_mark("bell") and not decoder.may_mark("stuupi")
+
+
+def plain_readings(token, costs):
+    """All readings of a token with their costs, by trying every choice for every character."""
+    found = {}
+
+    def go(place, older, last, before, cost, text):
+        if place == len(token):
+            cost += costs[older][last][0]
+            found[text] = min(cost, found.get(text, math.inf))
+            return
+        char = token[place]
+        plain = char.isalpha()
+        for letter in (char,) if plain else deobfuscation.READINGS.get(char, ""):
+            z = deobfuscation.letter_class(letter)
+            step = costs[older][last][z] + (0.0 if plain else deobfuscation.READ)
+            go(place + 1, last if z else 0, z, char, cost + step, text + letter)
+        if char == before:
+            go(place + 1, older, last, char, cost + deobfuscation.REPEAT, text)
+        if not plain:
+            go(place + 1, older, last, char, cost + deobfuscation.DROP, text)
+
+    go(0, 0, 0, "", 0.0, "")
+    return found
+
+
+@pytest.mark.parametrize("token", ["m0r0n", "1d10t", "sst00pid", "a@b", "x!!y", "5tup1d", "l|0", "st*pid", "m@r@n", "aabb", "7e11"])
+def test_search_finds_the_cheapest_of_all_readings(token):
+    decoder = decoder_of("the moron and the idiot are stupid bell tell ")
+    cost, text = decoder.cheapest(token)
+    readings = plain_readings(token, decoder.costs)
+    assert cost == pytest.approx(min(readings.values())) and readings[text] == pytest.approx(cost)
+
+
+@pytest.mark.parametrize(("text", "restored"), [("m@r@n", "moron"), ("st*pid", "stupid"), ("ｓｔｕｐｉｄ", "stupid"), ("stupіd", "stupid"), ("ѕtuріd", "stupid"), ("мир", "мир"), ("*the*", "the")])
+def test_other_disguises(text, restored):
+    assert " ".join(decoder_of("the moron and the stupid moron ").words(text)) == restored
+
+
+def test_a_corpus_repeated_has_the_same_scores(spark):
+    """Nothing in the model depends on how often the whole corpus stands in the table."""
+    toxic = ["you moron", "a stuupid moron goes", "moron m0ron", "what a moron you are"]
+    clean = ["the bell tells a tale", "a tall tree", "the moon is full", "good food for all"]
+    rows = [(i, (toxic if i % 4 == 0 else clean)[i // 4 % 4] + f" w{i % 17}", int(i % 4 == 0)) for i in range(400)]
+
+    def scores(times):
+        many = [(i + 1000 * k * 28, text, label) for k in range(times) for i, text, label in rows]
+        frame = spark.createDataFrame(many, "doc_id long, text string, toxic int")
+        made = deobfuscation.score_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()
+        return {r["doc_id"]: r["score"] for r in made if r["doc_id"] < 400}
+
+    one, three = scores(1), scores(3)
+    assert all((one[i] >= 0.3) == bool(label) for i, _, label in rows)
+    assert all((three[i] >= 0.3) == (one[i] >= 0.3) for i in one)
 
 
 @pytest.mark.parametrize(
     ("text", "restored"),
     [
-        ("$ t u p i d", "stupid"), ("m @ r o n", "maron"), ("i d ! o t", "idiot"), ("m o r @ n", "moran"), ("s  t\tu\np i d", "stupid"),
+        ("$ t u p i d", "stupid"), ("m @ r o n", "moron"), ("i d ! o t", "idiot"), ("m o r @ n", "moron"), ("s  t\tu\np i d", "stupid"),
         ("s - t - u - p - i - d", "stupid"), ("!diot", "idiot"), ("(the idiot)", "the idiot"), ("the i d i o t.", "the idiot"), ("1 + 2 + 3", "1 + 2 + 3"),
     ],
 )
 def test_letters_set_apart_with_signs_are_restored(text, restored):
-    plain = "the idiot and the stupid maron said the moran is the idiot "
+    plain = "the idiot and the stupid moron said the moron is the idiot "
     assert " ".join(decoder_of(plain).words(text)) == restored
