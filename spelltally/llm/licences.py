@@ -16,7 +16,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.llm.common import stored, whole
+from spelltally.llm.common import let, stored, whole
 
 GPL_HEADER = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
@@ -101,6 +101,8 @@ PARAGRAPH_END = r"\r?\n[ \t/*#;%\-]*\r?\n"
 NOT_TERM = r"[^\p{L}\p{N}]+"
 # Weight of a term that no template has, in units of the heaviest term that one has.
 FOREIGN = 0.5
+# Which option goes first: most terms of its template, then the cosine, the first segment, the first template.
+ORDER = ("own", "rounded", "first", "number")
 
 
 def terms(text: Column) -> Column:
@@ -154,6 +156,82 @@ def decisive_terms(vectors: list[dict[str, float]], threshold: float) -> set[str
     return kept
 
 
+def template_column(licence: str, number: int, counts: dict[str, int], vector: dict[str, float]) -> Column:
+    """A template as a constant struct; its entries are those of the unit vector over its own terms."""
+    norm = sqrt(sum(w * w for w in vector.values()))
+    names = " ".join(sorted(set(counts) & set(NAMING)))
+    entries = " ".join(repr(vector[t] / norm) for t in counts)
+    return F.struct(
+        F.lit(licence).alias("licence"),
+        F.lit(number).alias("template"),
+        F.lit(names).alias("names"),
+        F.split(F.lit(" ".join(counts)), " ").alias("own"),
+        F.split(F.lit(entries), " ").cast("array<double>").alias("entries"),
+    )
+
+
+def term_weight(term: Column, weight_of: dict[str, float], foreign: float) -> Column:
+    keys = F.split(F.lit(" ".join(weight_of)), " ")
+    values = F.split(F.lit(" ".join(map(repr, weight_of.values()))), " ").cast("array<double>")
+    return F.coalesce(F.map_from_arrays(keys, values)[term], F.lit(foreign))
+
+
+def vector_norm(found: Column, weight_of: dict[str, float], foreign: float) -> Column:
+    """Length of the TF-IDF vector of an array of terms: equal terms stand together once sorted."""
+    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum"))
+
+    def square(run: Column) -> Column:
+        return run["tf"] * run["weight"] * run["tf"] * run["weight"]
+
+    def step(run: Column, term: Column) -> Column:
+        more = F.struct(run["term"].alias("term"), (run["tf"] + 1).alias("tf"), run["weight"].alias("weight"), run["sum"].alias("sum"))
+        weight = term_weight(term, weight_of, foreign)
+        other = F.struct(term.alias("term"), F.lit(1).alias("tf"), weight.alias("weight"), (run["sum"] + square(run)).alias("sum"))
+        return F.when(term == run["term"], more).otherwise(other)
+
+    return F.aggregate(F.sort_array(found), start, step, lambda run: F.sqrt(run["sum"] + square(run)))
+
+
+def options(segments: Column, table: Column, weight_of: dict[str, float], foreign: float) -> Column:
+    """Cosines of a file's segments to the templates that name the same licence, as an array.
+
+    All of it stays within the file's row: however many files share a line, nothing multiplies.
+    Fields begin with those that say which option goes first.
+    """
+
+    def agreeing(s: Column) -> Column:
+        read = F.struct(naming(s["terms"]).alias("names"), before_licence(s["terms"]).alias("before"))
+        return let(
+            read,
+            lambda r: F.filter(table, lambda t: (t["names"] == r["names"]) & (F.size(F.array_except(r["before"], t["own"])) == 0)),
+        )
+
+    def cosine(s: Column, t: Column) -> Column:
+        known = F.filter(s["terms"], lambda term: F.array_contains(t["own"], term))
+        return F.aggregate(
+            known, F.lit(0.0), lambda total, term: total + term_weight(term, weight_of, foreign) * F.get(t["entries"], F.array_position(t["own"], term).cast("int") - 1)
+        ) / s["norm"]
+
+    def option(s: Column, t: Column) -> Column:
+        return let(
+            cosine(s, t),
+            lambda c: F.struct(
+                F.size(t["own"]).alias("own"), F.round(c, 9).alias("rounded"), (-s["place"]).alias("first"), (-t["template"]).alias("number"),
+                t["licence"].alias("licence"), c.alias("cosine"), s["statement"].alias("statement"), F.size(s["terms"]).alias("length"),
+            ),
+        )
+
+    read = F.transform(segments, lambda s: F.struct(s["place"].alias("place"), s["statement"].alias("statement"), s["terms"].alias("terms"), agreeing(s).alias("agreeing")))
+    normed = F.transform(
+        F.filter(read, lambda s: F.size(s["agreeing"]) > 0),
+        lambda s: F.struct(
+            s["place"].alias("place"), s["statement"].alias("statement"), s["terms"].alias("terms"), s["agreeing"].alias("agreeing"),
+            vector_norm(s["terms"], weight_of, foreign).alias("norm"),
+        ),
+    )
+    return F.flatten(F.transform(normed, lambda s: F.transform(s["agreeing"], lambda t: option(s, t))))
+
+
 def statements(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The best licence statement of each file that has one.
 
@@ -167,60 +245,24 @@ def statements(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
     weight_of = inverse_frequencies(files, vocabulary)
     vectors = [{t: n * weight_of[t] for t, n in counts.items()} for _, _, counts in rows]
     decisive = F.array(*map(F.lit, sorted(decisive_terms(vectors, threshold))))
-    spark = files.sparkSession
-    weights = spark.createDataFrame([(t, w) for t, w in weight_of.items()], "term string, weight double")
-    entries = spark.createDataFrame(
-        [
-            (t, name, number, w / sqrt(sum(x * x for x in vector.values())))
-            for (name, number, _), vector in zip(rows, vectors)
-            for t, w in vector.items()
-        ],
-        "term string, licence string, template int, entry double",
-    )
     foreign = FOREIGN * max(weight_of.values())
-    named = spark.createDataFrame(
-        [(number, " ".join(sorted(set(counts) & set(NAMING))), sorted(counts)) for _, number, counts in rows],
-        "template int, names string, own array<string>",
-    )
+    table = F.array(*(template_column(*row, vector) for row, vector in zip(rows, vectors)))
     paragraphs = F.transform(F.split(whole(), PARAGRAPH_END), lambda p: F.split(F.regexp_replace(p, LINE_END, " "), SENTENCE_END))
     pieces = F.array_distinct(F.concat(F.split(whole(), LINE_END), F.flatten(paragraphs)))
     split = F.transform(pieces, lambda s, i: F.struct(i.alias("place"), s.alias("statement"), terms(s).alias("terms")))
-    segments = files.select(
-        F.coalesce("path", F.lit("")).alias("path"),
-        F.size(terms(whole())).alias("size"),
-        F.explode(F.filter(split, lambda s: F.arrays_overlap(s["terms"], decisive))).alias("s"),
-    ).select("path", "size", "s.*")
-    facts = ("path", "place", "statement", "size", "length", "names", "before")
-    counted = (
-        segments.select(
-            "path", "place", "statement", "size", F.size("terms").alias("length"), naming(F.col("terms")).alias("names"),
-            F.array_sort(before_licence(F.col("terms"))).alias("before"), F.explode("terms").alias("term"),
-        )
-        .groupBy(*facts, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(F.broadcast(weights), "term", "left")
-        .withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(foreign)))
-    )
-    key = list(facts)
-    vector = counted.groupBy(*key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("term", "w"))).alias("known"),
-    )
-    cosines = (
-        vector.select(*key, "norm", F.explode("known").alias("k"))
-        .select(*key, "norm", "k.*")
-        .join(F.broadcast(entries), "term")
-        .groupBy(*key, "norm", "licence", "template")
-        .agg((F.sum(F.col("w") * F.col("entry")) / F.first("norm")).alias("cosine"))
-        .where(F.col("cosine") >= threshold)
-        .join(F.broadcast(named), ["template", "names"])
-        .where(F.size(F.array_except("before", "own")) == 0)
-    )
-    best = F.max_by(
-        F.struct("licence", "cosine", "statement", (F.col("length") / F.col("size")).alias("share")),
-        F.struct(F.size("own"), F.round("cosine", 9), -F.col("place"), -F.col("template")),
+    segments = F.filter(split, lambda s: F.arrays_overlap(s["terms"], decisive))
+    found = F.array_max(F.filter(options(segments, table, weight_of, foreign), lambda o: o["cosine"] >= threshold))
+    size = F.size(terms(whole()))
+    share = (F.col("o.length") / F.col("size")).alias("share")
+    fields = F.struct(*(F.col(f"o.{name}") for name in ORDER), "o.licence", "o.cosine", "o.statement", share)
+    # Files without a statement are dropped last: a filter on what was just made would make it twice.
+    return (
+        files.select(F.coalesce("path", F.lit("")).alias("path"), size.alias("size"), found.alias("o"))
+        .groupBy("path")
+        .agg(F.max(F.when(F.col("o").isNotNull(), fields)).alias("b"))
+        .where(F.col("b").isNotNull())
+        .select("path", "b.licence", "b.cosine", "b.statement", "b.share")
     )
-    return cosines.groupBy("path").agg(best.alias("b")).select("path", "b.*")
 
 
 def directory(path: Column) -> Column:

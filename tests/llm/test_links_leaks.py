@@ -230,6 +230,18 @@ def test_odd_files(spark, empty):
     assert licences.scan(empty.selectExpr("source AS path", "text")).count() == 0
 
 
+def test_a_common_line_makes_no_rows(spark):
+    """Terms and cosines stay in a file's row, so a line that all files share costs each of them its own share only."""
+    line = "Licensed under the Apache License, Version 2.0."
+    files = [(f"d/{i}", f"{line}\nfile {i} of many\n{line}") for i in range(300)] + [("d/other", "no such line"), ("d/0", line)]
+    found = licences.statements(spark.createDataFrame(files, "path string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    rows = {r.path: r for r in found.collect()}
+    assert set(rows) == {f"d/{i}" for i in range(300)}
+    assert {(r.licence, r.statement, round(r.cosine, 6)) for r in rows.values()} == {("Apache-2.0", line, 1.0)}
+
+
 def test_quotes_make_threads(spark):
     mails = [
         (1, 0, "Hello all,\n\nshall we meet  on\nMonday?"), (1, 1, "> shall we meet on Monday?\n\nYes."),
