@@ -67,7 +67,7 @@ def firm_and_focal_counts(tables, study: Study, firms: FirmUniverse) -> DataFram
 
 
 def employee_state(tables, study: Study, firms: FirmUniverse | None = None) -> DataFrame:
-    """Employees at the snapshot as mergeable bitmaps, one per firm, country and bucket of ids."""
+    """Employees at the snapshot as mergeable bitmaps, one word per firm, country and bucket of ids."""
     firms = firms or universe(tables, study)
     positions = tables.frame("user_positions", *SPELL_DATES)
 

@@ -269,6 +269,18 @@ def test_bitmaps_count_as_distinct_counts_do(spark):
     assert rows_of(bitmaps.id_counts(bitmaps.bitmap_state(frame.limit(0), ("k",), "id"), "n")) == [(0,)]
 
 
+def test_bitmaps_of_far_ids_stay_small_and_hash(spark):
+    """Each firm holds twenty ids far apart: a state of words, not of bitmaps of 4 KB that aggregates have to sort."""
+    frame = spark.range(20_000).selectExpr("id % 1000 AS k", "id * 1000003 - 9000000 AS id")
+    state = bitmaps.bitmap_state(frame, ("k",), "id")
+    assert state.schema[bitmaps.BITS].dataType.simpleString() == "bigint"
+    for made in (state, bitmaps.merged(state), bitmaps.id_counts(state, "n", "k")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert rows_of(bitmaps.id_counts(state, "n")) == [(20_000,)]
+    assert set(r.n for r in bitmaps.id_counts(state, "n", "k").collect()) == {20}
+
+
 def test_employees_by_level_count_people_once(spark, tmp_path):
     """User 10 works for two firms of one country: twice by firm, once by country."""
     given = tables(spark)
