@@ -49,12 +49,16 @@ def active_at(
     A strict date begins with its year, so the order of texts bounds it, and Parquet
     readers can skip by that; padding would break the order.
     """
-    day = F.lit(snapshot).cast("date")
-    running = end_text.isNull() | (parse(end_text) >= day) | ~has_text(end_text)
-    started = parse(start_text) <= day
+    running = running_at(parse(start_text), parse(end_text), end_text, snapshot)
     if parse is parse_date:
-        started = (start_text < after_year(snapshot)) & started
-    return started & running
+        return (start_text < after_year(snapshot)) & running
+    return running
+
+
+def running_at(start: Column, end: Column, end_text: Column, snapshot: str) -> Column:
+    """:func:`active_at` of dates that are read already."""
+    day = F.lit(snapshot).cast("date")
+    return (start <= day) & (end_text.isNull() | (end >= day) | ~has_text(end_text))
 
 
 def in_period(day: Column, period: tuple[str, str]) -> Column:

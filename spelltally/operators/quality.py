@@ -176,17 +176,22 @@ def date_diagnostics_by(
 
 
 def dates_in_passing(
-    frame: DataFrame, dataset: str, *variables: str, readings: dict[str, Callable[[Column], Column]]
+    frame: DataFrame,
+    dataset: str,
+    *variables: str,
+    readings: dict[str, Callable[[Column], Column]],
+    read: Callable[[str, str], str] | None = None,
 ) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """The frame, and its :func:`date_diagnostics_by` once a job has gone through it.
 
     The first action on the returned frame must go through all of its rows, and may filter,
     project and write them, without a shuffle in between: only tasks of a job's last stage
     count each row once even when an executor is lost and work is repeated. The diagnostics
-    wait for that action.
+    wait for that action. ``read`` names the column that holds a variable's dates by a reading,
+    where the frame has them parsed.
     """
     seen = Observation()
-    figures = _date_figures(variables, readings)
+    figures = _date_figures(variables, readings, read)
     names = [name for name, _ in _figure_names(variables, readings)]
 
     def diagnostics() -> DataFrame:
@@ -198,7 +203,11 @@ def dates_in_passing(
     return frame.observe(seen, *figures), diagnostics
 
 
-def _figure_names(variables: Iterable[str], readings: dict[str, Callable[[Column], Column]]) -> list[tuple[str, Column]]:
+def _figure_names(
+    variables: Iterable[str],
+    readings: dict[str, Callable[[Column], Column]],
+    read: Callable[[str, str], str] | None = None,
+) -> list[tuple[str, Column]]:
     """Names and aggregates of what date diagnostics are made from."""
     figures = [("rows", F.count(F.lit(1)))]
     for name in variables:
@@ -206,13 +215,18 @@ def _figure_names(variables: Iterable[str], readings: dict[str, Callable[[Column
         present = has_text(text)
         figures.append((f"{name}_present", F.count_if(present)))
         figures += [
-            (f"{name}_failed_{reading}", F.count_if(present & parse(text).isNull())) for reading, parse in readings.items()
+            (f"{name}_failed_{reading}", F.count_if(present & (F.col(read(name, reading)) if read else parse(text)).isNull()))
+            for reading, parse in readings.items()
         ]
     return figures
 
 
-def _date_figures(variables: Iterable[str], readings: dict[str, Callable[[Column], Column]]) -> list[Column]:
-    return [figure.alias(name) for name, figure in _figure_names(variables, readings)]
+def _date_figures(
+    variables: Iterable[str],
+    readings: dict[str, Callable[[Column], Column]],
+    read: Callable[[str, str], str] | None = None,
+) -> list[Column]:
+    return [figure.alias(name) for name, figure in _figure_names(variables, readings, read)]
 
 
 def _date_rows(figures: DataFrame, dataset: str, variables: Iterable[str], readings: list[str]) -> DataFrame:

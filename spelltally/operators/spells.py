@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spelltally.functions.dates import active_at, parse_date, parse_date_trimmed
+from spelltally.functions.dates import active_at, parse_date, parse_date_trimmed, running_at
 from spelltally.functions.text import label_or_missing
 from spelltally.operators.dedup import nulls_last
 
@@ -21,7 +21,13 @@ def of_categories(frame: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     return frame.where(F.col("job_category").isin(*categories))
 
 
-def active_spells(positions: DataFrame, snapshot: str, parse=parse_date) -> DataFrame:
+def active_spells(
+    positions: DataFrame, snapshot: str, parse=parse_date, read: tuple[str, str] | None = None
+) -> DataFrame:
+    """Spells running at the snapshot. ``read`` names columns that hold the parsed start and end."""
+    if read:
+        start, end = map(F.col, read)
+        return positions.where(running_at(start, end, F.col("enddate"), snapshot))
     return positions.where(
         active_at(F.col("startdate"), F.col("enddate"), snapshot, parse)
     )

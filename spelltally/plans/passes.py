@@ -35,6 +35,24 @@ class PassedTables:
         return self.frames[name].select(*columns) if columns else self.frames[name]
 
 
+def read_as(variable: str, reading: str) -> str:
+    return f"_{variable}_{reading}"
+
+
+def with_dates(facts: DataFrame, *variables: str, trimmed: bool = False) -> DataFrame:
+    """Facts with their dates parsed once, for the figures and for what is kept.
+
+    A text that reads strictly reads the same when trimmed, so the second pattern runs on the rest only.
+    """
+    read = facts.select("*", *(parse_date(F.col(name)).alias(read_as(name, STRICT)) for name in variables))
+    if not trimmed:
+        return read
+    return read.select(
+        "*",
+        *(F.coalesce(read_as(name, STRICT), parse_date_trimmed(F.col(name))).alias(read_as(name, TRIMMED)) for name in variables),
+    )
+
+
 def spells_pass(tables, study: Study, firms: FirmUniverse, path: str) -> tuple[DataFrame, DataFrame]:
     """Spells running at the snapshot, and the date diagnostics of all spells by ``reading``.
 
@@ -43,14 +61,23 @@ def spells_pass(tables, study: Study, firms: FirmUniverse, path: str) -> tuple[D
     """
     columns = ("rcid", "user_id", "startdate", "enddate", "job_category", study.role)
     facts = firms.keep(tables.frame("user_positions", *columns))
-    watched, dates = quality.dates_in_passing(facts, "user_positions", "startdate", "enddate", readings=READINGS)
-    kept = write_parquet(spell_ops.active_spells(watched, study.snapshot, parse_date_trimmed), path)
+    read = with_dates(facts, "startdate", "enddate", trimmed=True)
+    watched, dates = quality.dates_in_passing(
+        read, "user_positions", "startdate", "enddate", readings=READINGS, read=read_as
+    )
+    by = tuple(read_as(name, TRIMMED) for name in ("startdate", "enddate"))
+    running = spell_ops.active_spells(watched, study.snapshot, parse_date_trimmed, by)
+    kept = write_parquet(running.select(*columns), path)
     return kept, dates()
 
 
 def postings_pass(tables, board: str, firms: FirmUniverse, path: str) -> tuple[DataFrame, DataFrame]:
     """Postings of a board with a job id and a readable date, and the date diagnostics of all."""
-    facts = firms.keep(tables.frame(board, "rcid", "job_id", "post_date", "job_category"))
-    watched, dates = quality.dates_in_passing(facts, board, "post_date", readings={"": parse_date})
-    dated = F.col("job_id").isNotNull() & parse_date(F.col("post_date")).isNotNull()
-    return write_parquet(watched.where(dated), path), dates().drop("reading")
+    columns = ("rcid", "job_id", "post_date", "job_category")
+    facts = with_dates(firms.keep(tables.frame(board, *columns)), "post_date")
+    day = read_as("post_date", STRICT)
+    watched, dates = quality.dates_in_passing(
+        facts, board, "post_date", readings={"": parse_date}, read=lambda *_: day
+    )
+    dated = F.col("job_id").isNotNull() & F.col(day).isNotNull()
+    return write_parquet(watched.where(dated).select(*columns), path), dates().drop("reading")

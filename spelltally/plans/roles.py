@@ -34,7 +34,9 @@ def _per_pair(
 
 
 def _dictionary(tables, study: Study) -> DataFrame | None:
-    names = tables.frame("user_positions", study.role).select(label_or_missing(F.col(study.role)).alias(study.role))
+    # Each spelling is cleaned once, not once per spell.
+    spellings = tables.frame("user_positions", study.role).distinct()
+    names = spellings.select(label_or_missing(F.col(study.role)).alias(study.role))
     return spell_ops.role_dictionary(names, study.role)
 
 

@@ -3,7 +3,8 @@ from frames import rows_of
 from pyspark.sql import functions as F
 
 from spelltally.functions.dates import parse_date, parse_date_trimmed
-from spelltally.operators import quality, samples
+from spelltally.operators import quality, samples, spells
+from spelltally.plans import passes
 
 
 def ids(spark, values):
@@ -94,6 +95,23 @@ def test_date_diagnostics(spark):
     ]
 
 
+def test_a_pass_reads_each_date_once(spark):
+    texts = ["2020-01-31", " 2020-01-31", "2020-01-31\t", "2020-02-31", " 2020-02-31 ", "9999-12-31", "unknown", "  ", "", None]
+    frame = spark.createDataFrame([(a, b) for a in texts for b in texts], "startdate string, enddate string")
+    read = passes.with_dates(frame, "startdate", "enddate", trimmed=True)
+    for name in ("startdate", "enddate"):
+        for reading, parse in passes.READINGS.items():
+            assert read.where(~F.col(passes.read_as(name, reading)).eqNullSafe(parse(F.col(name)))).count() == 0
+    by = tuple(passes.read_as(name, passes.TRIMMED) for name in ("startdate", "enddate"))
+    watched, _ = quality.dates_in_passing(read, "d", "startdate", "enddate", readings=passes.READINGS, read=passes.read_as)
+    running = spells.active_spells(watched, "2020-02-15", parse_date_trimmed, by)
+    assert running._jdf.queryExecution().executedPlan().toString().count("regexp_extract(") == 4
+    wanted = spells.active_spells(frame, "2020-02-15", parse_date_trimmed)
+    made = running.select(*frame.columns)
+    assert made.exceptAll(wanted).count() == 0 and wanted.exceptAll(made).count() == 0
+    assert made.count() > 0
+
+
 def test_dates_in_passing_of_an_empty_frame(spark, tmp_path):
     frame = spark.createDataFrame([], "s string")
     watched, dates = quality.dates_in_passing(frame, "d", "s", readings={"": parse_date})
